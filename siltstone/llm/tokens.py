@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: A space beside other white space: there the tokenizer's own splitting looks across the space.
-_RUN = re.compile(r"\s | \s")
-_MOST_PIECES = 400_000
+_MOST_PIECES = 1_000_000
 
 
 class _Index(dict):
-    """Piece -> its number; new pieces are noted. A text's first piece is kept under a leading newline, which no other piece can have."""
+    """Piece -> its number; new pieces are noted. A text's first piece is kept under a leading space, which no other piece has."""
 
     def __missing__(self, piece: str) -> int:
         self[piece] = i = len(self)
@@ -21,65 +20,77 @@ class _Index(dict):
         return i
 
 
+def _uneven(piece: str) -> bool:
+    """Whether white space meets the space before or after the piece."""
+    if piece[:1] == " ":
+        return piece.rstrip() != piece and len(piece) > 1
+    return not piece or piece.strip() != piece
+
+
 class Encoder:
     """Ids of whole texts, without special tokens; their strings in a text are ordinary text.
 
-    A byte-level BPE starts a new word at a space between two other characters, and no rule looks back across
-    that place. So such texts are cut at their spaces, each distinct piece is encoded once by the tokenizers
-    library, and ids are gathered from an array. Texts with runs of white space around a space go to the library whole.
-    The cache is emptied when it holds 400,000 pieces; that changes no result.
+    A byte-level BPE starts a new word at a space between two characters that aren't white space, and no rule looks
+    back across that place. So such texts are cut at their spaces, each distinct piece is encoded once by the tokenizers
+    library, and ids are gathered from an array. Texts with more white space beside a space go to the library whole.
+    With a million pieces the later half is forgotten; that changes no result.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self._clear()
-
-    def _clear(self) -> None:
         self.index, self.ids = _Index(), np.zeros(0, self.dtype)
         self.index.new = []
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.size, self.uneven = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        n = _MOST_PIECES // 2
+        kept = _Index(list(self.index.items())[:n])
+        kept.new = []
+        self.index = kept
+        self.first, self.size, self.uneven = self.first[:n], self.size[:n], self.uneven[:n]
+        self.ids = self.ids[: self.first[-1] + self.size[-1]].copy()
 
     def _learn(self) -> None:
-        new = [p[1:] if p[:1] == "\n" else " " + p for p in self.index.new]
+        new = self.index.new
+        if not new:
+            return
+        got = [e.ids for e in self.model.encode_batch_fast([x[1:] if x[:1] == " " else " " + x for x in new], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.uneven = np.concatenate([self.uneven, np.fromiter(map(_uneven, new), bool, len(new))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum()))])
         self.index.new = []
-        if new:
-            got = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), self.dtype, int(size.sum()))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text's ids."""
+        if not texts:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         if len(self.index) > _MOST_PIECES:
-            self._clear()
+            self._forget()
         pieces: list[str] = []
-        counts, whole = [], []
-        for k, t in enumerate(texts):
-            if _RUN.search(t):
-                whole.append(k)
-                own = ["\n"]
-            else:
-                own = t.split(" ")
-                own[0] = "\n" + own[0]
+        counts = []
+        for t in texts:
+            own = t.split(" ")
+            own[0] = " " + own[0]
             pieces += own
             counts.append(len(own))
-        if not counts:
-            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
         size = self.size[at]
         ids = self.ids[np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         starts = np.cumsum(counts) - counts
         lengths = np.add.reduceat(size, starts)
+        whole = np.nonzero(np.logical_or.reduceat(self.uneven[at], starts))[0].tolist()
         if whole:
             got = {k: np.array(e.ids, self.dtype) for k, e in zip(whole, self.model.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True)}
             ends = np.cumsum(lengths)
-            ids = np.concatenate([got.get(k, ids[ends[k] - lengths[k] : ends[k]]) for k in range(len(texts))])
+            ids = np.concatenate([got[k] if k in got else ids[ends[k] - lengths[k] : ends[k]] for k in range(len(texts))])
             lengths = np.array([len(got[k]) if k in got else n for k, n in enumerate(lengths)], np.int64)
         return ids, lengths
 
