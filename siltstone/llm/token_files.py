@@ -52,7 +52,7 @@ def write(docs: DataFrame, root: str, vocabulary: str, end_id: int) -> list[tupl
     """Encode all docs (doc_id, text) into the folder root; returns the manifest's rows, a few numbers for each shard.
 
     Null text is empty text: the end id alone. Null doc_ids come first. Rows with equal doc_id are all kept, in the
-    order of their texts. An empty table gives no documents.
+    order of their texts' hashes. An empty table gives no documents.
     """
     _opened(root)[0].create_dir(_opened(root)[1], recursive=True)
 
@@ -77,7 +77,8 @@ def write(docs: DataFrame, root: str, vocabulary: str, end_id: int) -> list[tupl
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "name": [name], "width": [enc.dtype.itemsize], "n_docs": [len(n)], "n_tokens": [int(n.sum())]})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = ordered.withColumn("tie", F.xxhash64("text"))  # short, as the bounds of the ranges go through the driver
+    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
     made = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().cast("int").alias("gone"), "text").mapInPandas(put, MANIFEST)
     base, rows = 0, []
     for r in sorted(written(made, "shards").collect(), key=lambda r: r.part):  # a row for each task
