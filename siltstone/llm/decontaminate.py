@@ -84,8 +84,8 @@ def with_hits(docs: DataFrame, text: str, bench: Benchmark, hits: str, count: st
     df, have = _window_hashes(df, h, bench.sizes)
     def of_size(s: int) -> Column:
         own, (grams, hashes) = F.col(have[s]), map(list, zip(*bench.by_size[s], strict=True))
-        starts = F.when(F.size(w) >= s, F.sequence(F.lit(1), F.size(w) - (s - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        at = F.filter(starts, lambda i: F.element_at(own, i).isin(hashes))
+        # the hashes are an argument: within a lambda's body they would be made anew for each word
+        at = F.filter(F.transform(own, lambda x, i: F.when(x.isin(hashes) & (i <= F.size(w) - s), i + 1)), lambda i: i.isNotNull())
         cut = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(s).alias("size"), F.array_join(F.transform(F.slice(F.col(w), i, F.lit(s)), _lowered), " ").alias("window")))
         return F.filter(cut, lambda x: x["window"].isin(grams))
 
@@ -102,8 +102,8 @@ def _joined_hits(docs: DataFrame, key: str, text: str, bench: Benchmark) -> Data
     out = None
     for s in bench.sizes:
         mine = bench.table.where(F.col("size") == s).select(_gram_hash(F.col("window"), s).alias("g")).distinct()
-        cut = df.where(F.size("w") >= s).select(key, F.explode(F.expr(f"transform(sequence(1, size(w) - {s - 1}), i -> struct(i as at, element_at({have[s]}, i) as g, array_join(slice(w, i, {s}), ' ') as window))")).alias("x"))
-        cut = cut.select(key, "x.*").join(mine, "g", "left_semi").select(key, F.struct("at", F.lit(s).alias("size"), "window").alias("hit"))
+        cut = df.where(F.size("w") >= s).select(key, F.explode(F.expr(f"transform({have[s]}, (g, i) -> struct(i + 1 as at, g, array_join(slice(w, i + 1, {s}), ' ') as window, i <= size(w) - {s} as whole))")).alias("x"))
+        cut = cut.where("x.whole").select(key, "x.*").join(mine, "g", "left_semi").select(key, F.struct("at", F.lit(s).alias("size"), "window").alias("hit"))
         cut = cut.join(bench.table.select("window").distinct(), cut.hit.window == F.col("window"), "left_semi")
         out = cut if out is None else out.union(cut)
     return out

@@ -79,10 +79,9 @@ def test_quality(spark):
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got), key=key) == want
     for r in got:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-        if r.doc_id is not None and r.doc_id < 60 and not r.base_failed:
-            assert r.kept
-        if r.doc_id is not None and r.doc_id >= 300 or r.base_failed:
-            assert not r.kept
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    by = {r.doc_id: r.score for r in got}
+    assert max(by[i] for i in range(300, 330)) < min(by[i] for i in range(60))
     # the model against plain counting
     ratio = quality.learn(df, trusted)
     good = {r[0] for r in rows if r[0] is not None and r[0] < 60}
