@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,10 @@ _ADD = np.random.default_rng(21).integers(0, 1 << 32, ROWS * BANDS, np.uint32)
 
 
 def trimmed(line: Column) -> Column:
-    """Equal lines are those equal but for white space at their ends."""
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    """Equal lines are those equal but for white space at their ends. Trimming more than spaces walks the whole line, so only lines that need it get it."""
+    t = F.trim(line)
+    ends = [f(t, F.lit(c)) for c in "\t\r\x0b\x0c" for f in (F.startswith, F.endswith)]
+    return F.when(reduce(or_, ends), F.btrim(t, F.lit(" \t\r\x0b\x0c"))).otherwise(t)
 
 
 def normal(line: str) -> str:
@@ -59,13 +63,31 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def shingles(line: str) -> set[str]:
+    """Of a normalised line."""
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
 def jaccard(a: str, b: str) -> float:
     """Of the shingle sets of two normalised lines."""
-    x, y = ({t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))} for t in (a, b))
+    x, y = shingles(a), shingles(b)
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
+def similar(a: str, of_b: set[str], least: float) -> bool:
+    """Whether the exact Jaccard similarity is at least `least`. A line of n characters has at most n - 7 different
+    shingles, and a similarity is at most the ratio of the sets' sizes."""
+    n = max(1, len(a) - SHINGLE + 1)
+    if n < least * len(of_b):
+        return False
+    x = shingles(a)
+    if len(of_b) < least * len(x):
+        return False
+    both = len(x & of_b)
+    return both >= least * (len(x) + len(of_b) - both)
+
+
 def _lines(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep, no, line, h) of each line that isn't blank."""
     cut = docs.select(*keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
@@ -105,7 +127,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = [jaccard(normal(a), normal(b)) >= least for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)]
+            last, own, good = None, set(), []
+            for a, b, v in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["v"].tolist(), strict=True):
+                if v != last:  # pairs come by v from the join, else only speed is lost
+                    last, own = v, shingles(normal(b))
+                good.append(similar(normal(a), own, least))
             yield pdf.loc[good, ["u", "v"]]
 
     one = texts.select(F.col("h").alias("hu"), F.col("line").alias("a"))
