@@ -221,8 +221,10 @@ def learn(docs: DataFrame, most: int = MOST_DOCS) -> Model | None:
     usable = usable.where(F.pmod(F.crc32(F.col("doc_id").cast("binary")), F.lit(4)) != 2)
     sample: list[tuple[str, str]] = []
     for lang in sorted(r[0] for r in usable.select("lang").distinct().collect()):
-        own = usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "text").limit(most)
-        sample += [(r.text, lang) for r in own.select("text").collect()]
+        own = usable.where(F.col("lang") == lang)
+        ids = [r[0] for r in own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+        texts = own.where(F.col("doc_id").isin(ids)).select("doc_id", "text").dropDuplicates(["doc_id", "text"]).collect()
+        sample += [(r.text, lang) for r in sorted(texts, key=lambda r: (ids.index(r.doc_id), r.text))[:most]]
     return fit(sample)
 
 
