@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _GEAR = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,7 +64,7 @@ def content_chunks(df: DataFrame, key: str, data: str, least: int = 2048, averag
     return out.withColumnRenamed("k", key)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def sample_hashes(data: pd.Series) -> pd.Series:
     """FNV-1a 64 (signed) of ten windows of up to 1 KB, spread over the content."""
 
@@ -101,7 +102,7 @@ def best_bases(items: DataFrame, threshold: float = 0.3, size_ratio: float = 0.5
     return scored.where(F.col("score") > threshold).groupBy("id").agg(F.max(F.struct("score", (-F.col("base")).alias("b"))).alias("m")).select("id", (-F.col("m.b")).alias("base"), F.round("m.score", 6).alias("score"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def zstd_delta(data: pd.Series, base: pd.Series) -> pd.Series:
     """Zstandard with the base as raw dictionary."""
     import zstandard
@@ -110,7 +111,7 @@ def zstd_delta(data: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else pack(x, b) for x, b in zip(data, base, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def zstd_undelta(delta: pd.Series, base: pd.Series) -> pd.Series:
     import zstandard
 

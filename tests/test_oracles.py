@@ -25,7 +25,7 @@ def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 4)
     if isinstance(v, datetime.datetime):
-        return v.replace(tzinfo=None)
+        return v.replace(tzinfo=None).isoformat()
     return v
 
 
