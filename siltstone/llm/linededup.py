@@ -178,8 +178,10 @@ def dedup_lines(docs: DataFrame, least: float = LEAST, removed: str = "n_removed
 def without_repeated_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with repeated lines removed and without documents of which no line is left; n_chars, if there, follows the
     text. Documents that had no line stay. The columns are those of docs."""
-    gone, n = fresh(docs, "n_removed", "n_lines")
-    out = dedup_lines(docs, least, gone, n).where((F.col(n) == 0) | (F.col(gone) < F.col(n)))
+    gone, n, once = fresh(docs, "n_removed", "n_lines", "once")
+    # so that the filter stays above the projection and the columns are made once
+    out = dedup_lines(docs, least, gone, n).withColumn(once, F.monotonically_increasing_id())
+    out = out.where(((F.col(n) == 0) | (F.col(gone) < F.col(n))) & (F.col(once) >= 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
