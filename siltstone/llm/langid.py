@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import forget
 
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 1 << 16
@@ -20,7 +21,7 @@ FEATURES = 1 << 16
 MOST_DOCS, MOST_CHARS = 150, 20_000
 SEQUENCE, EPOCHS, SEED = 64, 4, 7
 CHUNK = 128
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 
 
 def word_features(word: str) -> list[int]:
@@ -179,7 +180,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS) -> Model | None:
 
 
 class Labeller:
-    """The model in a worker, with the emissions of words seen so far; emptied at 400,000 words, which changes no result."""
+    """The model in a worker, with the emissions of words seen so far; emptied at 250,000 words, which changes no result."""
 
     def __init__(self, model: Model):
         self.model, self.step = model, np.exp(model.transitions)
@@ -237,6 +238,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         own = Labeller(shared.value) if shared.value else None
         for pdf in batches:
             texts = pdf.pop("text").tolist()
@@ -272,6 +274,7 @@ def language(docs: DataFrame, model: Model | None) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         own = Labeller(shared.value) if shared.value else None
         for s in batches:
             got = [g for a in _runs(s.tolist()) for g in (own.label(a) if own else [("und", 0.0, None)] * len(a))]

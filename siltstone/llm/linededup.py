@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, located, table, written
 from .components import components
+from .tokens import forget
 
 #: Characters of a shingle, MinHash values of a band, bands, least Jaccard similarity. At 0.8 a pair misses all bands
 #: with probability (1 - 0.8^3)^8 = 0.3 %, at 0.9 with 0.003 %.
@@ -98,6 +99,7 @@ def _banded(lines: DataFrame) -> DataFrame:
     """(h, line) -> (band, h); a line that comes again in a batch is hashed once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in batches:
             pdf = pdf.drop_duplicates("h")
             own, n = [normal(x) for x in pdf["line"].tolist()], pdf["h"].to_numpy(np.int64)

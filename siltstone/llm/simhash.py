@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, located, table, written
 from .components import components
-from .tokens import slices
+from .tokens import forget, slices
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -54,6 +54,7 @@ def simhash(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for s in batches:
             texts = s.tolist()
             yield pd.Series(np.concatenate([np.zeros(0, np.uint64), *(fingerprints([texts[i] for i in run]) for run in slices(texts, 500_000))]).view(np.int64))

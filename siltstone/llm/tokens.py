@@ -101,6 +101,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Frees the encoder of a worker that now does other work: a worker holds one operator's caches at a time."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+
+
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with one more id at each text's end."""
     out = np.insert(ids, np.cumsum(lengths), end) if len(lengths) else ids
