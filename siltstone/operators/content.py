@@ -28,7 +28,7 @@ def boundaries(data: bytes, least: int, average: int, most: int) -> list[int]:
         return []
     gear = _GEAR[np.frombuffer(data, np.uint8)]
     h = np.zeros(len(data), np.uint64)
-    for k in range(64):  # the hash at i is the sum of the last 64 values, each shifted by its age
+    for k in range(min(64, len(data))):  # the hash at i is the sum of the last 64 values, each shifted by its age
         h[k:] += gear[: len(gear) - k] << np.uint64(k) if k else gear
     bits = max(1, average.bit_length() - 1)
     top = lambda n: h >> np.uint64(64 - n) == 0
