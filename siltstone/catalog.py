@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import scalar
 from .operators import compare, content, graph, measures
+from .plans import files, history, media  # noqa: F401 (their queries register)
+from .plans.registry import oracle_sql, queries, query  # noqa: F401
 from .sources import repository as repo
 from .sources.repository import with_tables
 from .streaming import logs
 
 FLAGSHIP = "three_way_conflicts"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
 
 
 def _trees(s: SparkSession, d: str) -> list[DataFrame]:
@@ -200,8 +181,6 @@ def last_operation(s, d):
 def tag_versions(s, d):
     tags = repo.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr("concat('v', cast(p_size % 7 as string), '.', cast(p_size as string), '.', cast(p_partkey % 13 as string))").alias("tag"))
     top = tags.orderBy(measures.version_order(F.col("tag")).desc(), "id").limit(50)
-    from pyspark.sql import Window as W
-
     return top.withColumn("rank", F.row_number().over(W.orderBy(measures.version_order(F.col("tag")).desc(), "id")).cast("long"))
 
 
@@ -327,7 +306,7 @@ def chunk_round_trip(s, d):
     return cut.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("x")).select("doc_id", F.sha2(F.array_join("x.line", "\n"), 256).alias("restored"))
 
 
-@query("SELECT page_id, k AS seq, k * 1000 AS \"offset\", octet_length(part) AS size, sha256(part) AS oid FROM (SELECT page_id, k, array_slice(x, k * 1000 + 1, k * 1000 + 1000) AS part FROM (SELECT page_id, x, unnest(range((octet_length(x) + 999) // 1000)) AS k FROM (SELECT page_id, encode(html) AS x FROM pages)))" if False else None)
+@query("SELECT page_id, k AS seq, k * 1000 AS \"offset\", length(part) // 2 AS size, sha256(unhex(part)) AS oid FROM (SELECT page_id, k, substr(x, k * 2000 + 1, 2000) AS part FROM (SELECT page_id, x, unnest(range((length(x) + 1999) // 2000)) AS k FROM (SELECT page_id, hex(encode(html)) AS x FROM pages)))")
 def fixed_chunks(s, d):
     return content.fixed_chunks(repo.table(s, d, "pages"), "page_id", "html", 1000)
 

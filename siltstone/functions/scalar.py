@@ -80,3 +80,107 @@ def glob_regex(glob: str) -> str:
         else:
             out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i])), i + 1
     return f"^{out}$"
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether ignore rules hold for a path: the last matching rule decides, `!` takes a path back unless a directory above
+    it is ignored, a slash before the end ties a rule to the root, a trailing slash means directories only."""
+    parents = F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda k: F.concat_ws("/", F.slice(F.split(path, "/"), F.lit(1), k))), lambda x: x != path)
+
+    def verdict(x: Column, is_dir: bool) -> Column:
+        out = F.lit(False)
+        for rule in rules:
+            body = rule.lstrip("!").rstrip("/")
+            if not body or rule.startswith("#") or (rule.endswith("/") and not is_dir):
+                continue
+            glob = body.lstrip("/") if "/" in body else f"**/{body}"
+            out = F.when(x.rlike(glob_regex(glob)), F.lit(not rule.startswith("!"))).otherwise(out)
+        return out
+
+    return F.exists(parents, lambda x: verdict(x, True)) | verdict(path, False)
+
+
+def pointer(version: str, oid: Column, size: Column) -> Column:
+    """The text of a pointer file: version, oid and size, a line each."""
+    return F.concat(F.lit(f"version {version}\noid sha256:"), oid, F.lit("\nsize "), size.cast("string"), F.lit("\n"))
+
+
+def parse_pointer(text: Column, most: int = 512) -> Column:
+    """struct(oid, size) of a pointer file, null for other content. A pointer is short, so longer content isn't looked at."""
+    shape = r"^version (\S+)\noid sha256:([0-9a-f]{64})\nsize (\d+)\n?$"
+    hit = (F.octet_length(text) <= most) & text.rlike(shape)
+    return F.when(hit, F.struct(F.regexp_extract(text, shape, 2).alias("oid"), F.regexp_extract(text, shape, 3).try_cast("long").alias("size")))
+
+
+def reflog_line(old: Column, new: Column, name: Column, email: Column, seconds: Column, message: Column) -> Column:
+    """`old new name <email> seconds +0000`, a tab and the message, whose line ends become spaces."""
+    return F.concat(old, F.lit(" "), new, F.lit(" "), name, F.lit(" <"), email, F.lit("> "), seconds.cast("string"), F.lit(" +0000\t"), F.regexp_replace(message, r"[\r\n]+", " "))
+
+
+def parse_reflog(line: Column) -> Column:
+    """struct(old, new, name, email, seconds, message); null for a line of another shape."""
+    shape = r"^(\S+) (\S+) (.*) <([^>]*)> (\d+) [+-]\d{4}\t(.*)$"
+    part = lambda k: F.regexp_extract(line, shape, k)
+    return F.when(line.rlike(shape), F.struct(part(1).alias("old"), part(2).alias("new"), part(3).alias("name"), part(4).alias("email"), part(5).try_cast("long").alias("seconds"), part(6).alias("message")))
+
+
+def human_bytes(n: Column) -> Column:
+    """Bytes with a unit of 1,024s and two decimals; plain bytes under 1,024."""
+    out = F.format_string("%d B", n.cast("long"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", F.bround(n / float(1024**k), 2))).otherwise(out)
+    return out
+
+
+def time_ago(seconds: Column) -> Column:
+    """`n units ago` of an age in seconds, by its largest unit."""
+    out = F.lit("just now")
+    for size, unit in ((1, "second"), (60, "minute"), (3600, "hour"), (86400, "day"), (604800, "week"), (2629800, "month"), (31557600, "year")):
+        n = F.floor(seconds / size)
+        out = F.when(seconds >= size, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise(""), F.lit(" ago"))).otherwise(out)
+    return out
+
+
+#: The first bytes of file types, in hexadecimal; a container's form stands at its ninth byte.
+MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "psd": "38425053", "pdf": "25504446", "zip": "504B0304", "gzip": "1F8B", "zstd": "28B52FFD", "matroska": "1A45DFA3", "flac": "664C6143", "ogg": "4F676753", "glb": "676C5446", "bmp": "424D"}
+FORMS = {"webp": "57454250", "wav": "57415645", "avi": "41564920"}
+
+
+def magic_type(data: Column) -> Column:
+    """The type by leading bytes; RIFF by its form, ISO media by `ftyp`; else text if it is UTF-8 without zero bytes, or binary."""
+    head = F.hex(F.substring(data, 1, 12))
+    out = None
+    for kind, hexa in MAGIC.items():
+        out = F.when(head.startswith(hexa), kind) if out is None else out.when(head.startswith(hexa), kind)
+    for kind, hexa in FORMS.items():
+        out = out.when(head.startswith("52494646") & (F.substring(head, 17, 8) == hexa), kind)
+    out = out.when(F.substring(head, 9, 8) == "66747970", "mp4")
+    plain = F.is_valid_utf8(F.substring(data, 1, 512)) & (F.instr(F.hex(F.substring(data, 1, 512)), "00") == 0)
+    return out.when(plain, "text").otherwise("binary")
+
+
+#: Kinds whose files are compressed already: neither packed again nor stored as deltas.
+PACKED = ("image", "audio")
+
+
+def chunked(size: Column, kind: Column, least: int = 1 << 20) -> Column:
+    return (size >= least) & ~kind.isin(*PACKED)
+
+
+def delta_wanted(size: Column, kind: Column, least: int = 4096) -> Column:
+    return (size >= least) & ~kind.isin(*PACKED, "video")
+
+
+def valid_ref(target: Column, symbolic: Column) -> Column:
+    """A ref has a target or points to another ref, not both."""
+    return target.isNotNull() != symbolic.isNotNull()
+
+
+def full_ref(name: Column) -> Column:
+    """The name in full: HEAD and full names as they are, others as branches."""
+    return F.when((name == "HEAD") | name.startswith("refs/"), name).otherwise(F.concat(F.lit("refs/heads/"), name))
+
+
+def safe_path(path: Column) -> Column:
+    """No absolute path, no drive, no zero byte and no way up."""
+    return (F.length(path) > 0) & ~path.rlike(r"^[/\\]|^[A-Za-z]:|\x00|(^|[/\\])\.\.([/\\]|$)")

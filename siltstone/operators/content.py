@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,23 +65,24 @@ def content_chunks(df: DataFrame, key: str, data: str, least: int = 2048, averag
     return out.withColumnRenamed("k", key)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def sample_hashes(data: pd.Series) -> pd.Series:
-    """FNV-1a 64 (signed) of ten windows of up to 1 KB, spread over the content."""
+def _fnv(parts: list[bytes], width: int = 1024) -> np.ndarray:
+    """FNV-1a 64 of byte strings of at most `width`, a column of bytes at a time."""
+    sizes = np.array([len(p) for p in parts])
+    grid = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width)
+    h = np.full(len(parts), 0xCBF29CE484222325, np.uint64)
+    for k in range(sizes.max(initial=0)):
+        h = np.where(k < sizes, (h ^ grid[:, k]) * np.uint64(0x100000001B3), h)
+    return h.view(np.int64)
 
-    def of(x: bytes | None) -> list[int] | None:
-        if x is None:
-            return None
-        out = []
-        for i in range(1, 11):
-            a = i * len(x) // 11
-            h = 0xCBF29CE484222325
-            for byte in x[a : a + 1024]:
-                h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            out.append(h - (1 << 64) if h >> 63 else h)
-        return out
 
-    return data.map(of)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def sample_hashes(data: pd.Series) -> pd.Series:
+    """FNV-1a 64 (signed) of ten windows of up to 1 KB, spread over the content; null of null."""
+    out: list[np.ndarray | None] = []
+    for lo in range(0, len(data), 512):
+        part = [x or b"" for x in data[lo : lo + 512]]
+        out.extend(_fnv([x[i * len(x) // 11 :][:1024] for x in part for i in range(1, 11)]).reshape(-1, 10))
+    return pd.Series([None if x is None else h for x, h in zip(data, out, strict=True)], dtype=object)
 
 
 def similarity(target: Column, candidate: Column, target_size: Column, candidate_size: Column) -> Column:
@@ -90,16 +92,23 @@ def similarity(target: Column, candidate: Column, target_size: Column, candidate
     return 0.7 * matches / F.greatest(F.lit(1), F.least(F.size(target), F.size(candidate))) + 0.3 * ratio
 
 
-def best_bases(items: DataFrame, threshold: float = 0.3, size_ratio: float = 0.5) -> DataFrame:
-    """items (id, type, size, samples) -> id, base, score: the most similar earlier item of the type that shares a
-    sample, strictly over the threshold. Candidates meet on samples, not in a cross join."""
-    hashed = items.select("id", "type", F.explode(F.array_distinct("samples")).alias("h"))
-    other = hashed.select(F.col("id").alias("base"), F.col("type").alias("t2"), F.col("h").alias("h2"))
-    pairs = hashed.join(other, (F.col("h") == F.col("h2")) & (F.col("type") == F.col("t2")) & (F.col("base") < F.col("id"))).select("id", "base").distinct()
-    mine = items.select("id", "size", "samples")
-    theirs = items.select(F.col("id").alias("base"), F.col("size").alias("s2"), F.col("samples").alias("x2"))
-    scored = pairs.join(mine, "id").join(theirs, "base").where(F.least("size", "s2") >= size_ratio * F.greatest("size", "s2")).withColumn("score", similarity(F.col("samples"), F.col("x2"), F.col("size"), F.col("s2")))
-    return scored.where(F.col("score") > threshold).groupBy("id").agg(F.max(F.struct("score", (-F.col("base")).alias("b"))).alias("m")).select("id", (-F.col("m.b")).alias("base"), F.round("m.score", 6).alias("score"))
+def best_bases(items: DataFrame, threshold: float = 0.3, size_ratio: float = 0.5, recent: int = 50) -> DataFrame:
+    """items (id, type, size, samples) -> id, base, score: the most similar earlier item of the type, strictly over the
+    threshold; ties go to the smallest id. Equal items (type, size, samples) are one class: a copy's base is the class's
+    first item, with score 1. Other candidates are the `recent` classes before an item's own, by first id, in each bucket
+    of a shared sample: so many a bucket, whatever its size."""
+    key = F.xxhash64("type", "size", F.to_json("samples"))
+    member = items.withColumn("class", key)
+    classes = member.groupBy("class").agg(F.min("id").alias("first"), F.min_by(F.struct("type", "size", "samples"), "id").alias("item")).select("class", "first", "item.*")
+    hashed = classes.select("first", "type", F.explode(F.array_distinct("samples")).alias("h"))
+    before = W.partitionBy("type", "h").orderBy("first").rowsBetween(-recent, -1)
+    pairs = hashed.withColumn("earlier", F.collect_list("first").over(before)).select("first", F.explode("earlier").alias("base")).distinct()
+    mine = classes.select("first", "size", "samples")
+    theirs = mine.toDF("base", "s2", "x2")
+    scored = pairs.join(mine, "first").join(theirs, "base").where(F.least("size", "s2") >= size_ratio * F.greatest("size", "s2")).withColumn("score", similarity(F.col("samples"), F.col("x2"), F.col("size"), F.col("s2")))
+    best = scored.where(F.col("score") > threshold).groupBy("first").agg(F.max(F.struct("score", (-F.col("base")).alias("b"))).alias("m")).select(F.col("first").alias("id"), (-F.col("m.b")).alias("base"), F.round("m.score", 6).alias("score"))
+    copies = member.select("id", "class").join(classes.select("class", "first"), "class").where(F.col("id") > F.col("first")).select("id", F.col("first").alias("base"), F.lit(1.0).alias("score"))
+    return best.unionByName(copies)
 
 
 @F.pandas_udf(T.BinaryType())

@@ -73,3 +73,31 @@ def verify(source: DataFrame, target: DataFrame) -> DataFrame:
 def version_order(tag: Column) -> Column:
     """Sort key of dotted versions: the numbers of their parts."""
     return F.transform(F.split(F.regexp_replace(tag, "^v", ""), r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
+
+
+def first_copies(new: DataFrame, stored: DataFrame, key: str = "oid") -> DataFrame:
+    """What a write adds: rows whose key isn't stored, one a key."""
+    return missing(new.dropDuplicates([key]), stored, key)
+
+
+def located(wanted: DataFrame, places: dict[str, DataFrame], key: str = "oid") -> DataFrame:
+    """wanted with `place`: the first of the places, in order, that has the key; null where none has."""
+    out = wanted
+    for name, there in places.items():
+        out = out.join(there.select(key).distinct().withColumn(f"in_{name}", F.lit(name)), key, "left")
+    return out.select(*wanted.columns, F.coalesce(*(f"in_{n}" for n in places)).alias("place"))
+
+
+def pack_index(objects: DataFrame, shards: int = 256) -> DataFrame:
+    """objects (oid, stored) -> oid, pack, offset, stored: packs by the id's hash, bytes in order of ids. Running sums are
+    a pack's own, so packs, not one list, bound a task."""
+    pack = F.pmod(F.xxhash64("oid"), F.lit(shards))
+    before = W.partitionBy("pack").orderBy("oid").rowsBetween(W.unboundedPreceding, -1)
+    return objects.select("oid", pack.alias("pack"), "stored").withColumn("offset", F.coalesce(F.sum("stored").over(before), F.lit(0)))
+
+
+def prometheus(df: DataFrame, metric: str, labels: list[str], value: str) -> DataFrame:
+    """line: one sample a row in the text exposition format."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"(\\|\")", r"\\$1"), "\n", r"\\n")
+    inner = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), F.coalesce(esc(c), F.lit("")), F.lit('"')) for c in labels))
+    return df.select(F.concat(F.lit(metric + "{"), inner, F.lit("} "), F.col(value).cast("string")).alias("line"))

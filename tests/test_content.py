@@ -10,3 +10,20 @@ def test_boundaries_cover_any_length():
         ends = content.boundaries(data, 256, 1024, 8192)
         assert ends == sorted(set(ends)) and (ends[-1] if ends else 0) == n
         assert all(b - a <= 8192 for a, b in zip([0, *ends], ends, strict=False))
+
+
+def test_sample_hashes(spark):
+    """Windows hashed a column at a time give what a loop over bytes gives."""
+    rows = [(0, None), (1, b""), (2, b"a"), (3, b"ab" * 9000), (4, bytes(range(256)) * 3)]
+
+    def plain(x):
+        out = []
+        for i in range(1, 11):
+            h = 0xCBF29CE484222325
+            for byte in x[i * len(x) // 11 :][:1024]:
+                h = (h ^ byte) * 0x100000001B3 % 2**64
+            out.append(h - 2**64 if h >> 63 else h)
+        return out
+
+    got = spark.createDataFrame(rows, "k int, x binary").select("k", content.sample_hashes("x").alias("h")).collect()
+    assert {r.k: r.h for r in got} == {k: None if x is None else plain(x) for k, x in rows}
