@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import or_
+from operator import add, or_
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, located, table, written
 from .components import components
-from .tokens import forget
+from .tokens import forget, slices
 
 #: Characters of a shingle, MinHash values of a band, bands, least Jaccard similarity. At 0.8 a pair misses all bands
 #: with probability (1 - 0.8^3)^8 = 0.3 %, at 0.9 with 0.003 %.
@@ -114,14 +115,67 @@ def _banded(lines: DataFrame) -> DataFrame:
     return lines.select("h", "line").mapInPandas(run, "band long, h long")
 
 
-def _candidates(bands: DataFrame) -> DataFrame:
-    """Distinct (u, v), u < v, that a bucket suggests: each line with the bucket's first and with the one before it.
+def _buckets(bands: DataFrame) -> DataFrame:
+    """(band, first, before, h): each line of a bucket but its first, with the first and the one before it by hash.
 
-    So a bucket of n different lines gives fewer than 2n pairs, not n^2; the eight bands order and split a group in
-    different ways. The window's buffer spills, and it holds hashes only."""
+    The window's buffer spills, and it holds hashes only."""
     by = W.partitionBy("band").orderBy("h")
-    seen = bands.select("h", F.lag("h").over(by).alias("before"), F.first("h").over(by).alias("first")).where("before < h")
-    return seen.select(F.explode(F.array("first", "before")).alias("u"), F.col("h").alias("v")).distinct()
+    return bands.select("band", F.first("h").over(by).alias("first"), F.lag("h").over(by).alias("before"), "h").where("before < h")
+
+
+def _near_first(buckets: DataFrame) -> DataFrame:
+    """Distinct (u, v), u < v: each line with its buckets' firsts and with the ones before it, fewer than 2n pairs for n lines.
+
+    They link nearly all near copies; the pairs left are those between components, see _across."""
+    return buckets.select(F.explode(F.array("first", "before")).alias("u"), F.col("h").alias("v")).distinct()
+
+
+def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, before, h, root, head) of the lines, but for the first, of buckets of four or more lines in which more than
+    one component meets; head is that of the second line. The first has met all others, and three lines are all neighbours."""
+    rooted = buckets.join(found, "h", "left").select("band", "before", "h", F.coalesce("root", "h").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "h").alias("head"))
+    return rooted.join(mixed.where("n >= 3 AND lo < hi").select("band", "head"), "band")
+
+
+def outlines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of normalised lines: the sizes of their shingle sets, and (lines, 4) 64-bit words with the parities of the sets
+    dealt over 256 bits. Two lines' words differ in at most as many bits as shingles are in one of the sets alone."""
+    own = [shingles(x) for x in lines]
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    place = np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) & 255 for s in own for x in s), np.int64, int(size.sum()))
+    odd = np.bincount(np.repeat(np.arange(len(own)) * 256, size) + place, minlength=256 * len(own)).reshape(-1, 256) & 1
+    return size, np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+
+
+def _outlined(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = pdf["line"].tolist()
+            for part in slices(lines, 500_000):
+                size, words = outlines([normal(lines[i]) for i in part])
+                yield pd.DataFrame({"h": pdf["h"].to_numpy(np.int64)[part], "n": size, **{f"w{k}": words[:, k] for k in range(4)}})
+
+    return texts.select("h", "line").mapInPandas(run, "h long, n long, w0 long, w1 long, w2 long, w3 long")
+
+
+def _across(unsettled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Distinct (u, v), u < v, of all pairs that share a bucket but no component and may be similar.
+
+    A pair of different components has a line outside the head's, so those lines meet all of their bucket but their
+    neighbours, which they have met. The join puts out only pairs within two bounds that no similar pair breaks: the ratio
+    of the sets' sizes, and the difference of their parities, at most the (1 - s) / (1 + s) part of both sizes at similarity s."""
+    known = unsettled.join(_outlined(texts.join(unsettled.select("h").distinct(), "h", "left_semi")), "h")
+    known = written(known, "unsettled")
+    x, y = (known.select("band", *(F.col(c).alias(c + side) for c in ("h", "before", "root", "head", "n", "w0", "w1", "w2", "w3"))) for side in "xy")
+    differing = reduce(add, (F.bit_count(F.col(f"w{k}x").bitwiseXOR(F.col(f"w{k}y"))) for k in range(4)))
+    near = F.col("rootx") != F.col("rooty")
+    near &= (F.col("rooty") == F.col("heady")) | (F.col("hx") < F.col("hy"))
+    near &= (F.col("hx") != F.col("beforey")) & (F.col("hy") != F.col("beforex"))
+    near &= F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(least - 1e-9)
+    near &= differing <= (F.col("nx") + F.col("ny")) * F.lit((1 - least) / (1 + least) + 1e-9)
+    met = x.where("rootx <> headx").alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & near)
+    return met.select(F.least("hx", "hy").alias("u"), F.greatest("hx", "hy").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -143,12 +197,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs (text) -> (h, root) of the lines that have a near copy other than themselves; root names their component."""
+    """docs (text) -> (h, root) of the lines that have a near copy other than themselves; root names their component.
+
+    Every pair of similar lines that share a bucket is in one component: first lines meet the first of each bucket and the
+    one before, then all pairs of a bucket that this left in different components are settled."""
     lines = _lines(docs.select("text"))
-    pairs = written(_candidates(_banded(lines)), "pairs")
-    wanted = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct()
+    buckets = written(_buckets(_banded(lines)), "buckets")
+    wanted = buckets.select(F.explode(F.array("first", "h")).alias("h")).distinct()
     texts = written(lines.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "lines")
-    return components(_verified(pairs, texts, least)).select(F.col("node").alias("h"), "root")
+    found = components(_verified(_near_first(buckets), texts, least)).select(F.col("node").alias("h"), "root")
+    found = written(found, "found")
+    links = written(_verified(_across(_unsettled(buckets, found), texts, least), texts, least), "across")
+    if links.isEmpty():
+        return found
+    one, two = found.select(F.col("h").alias("u"), F.col("root").alias("of_u")), found.select(F.col("h").alias("v"), F.col("root").alias("of_v"))
+    met = links.join(one, "u", "left").join(two, "v", "left").select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
+    merged = written(components(met).select("node", F.col("root").alias("top")), "merged")
+    moved = found.join(merged, F.col("root") == F.col("node"), "left").select("h", F.coalesce("top", "root").alias("root"))
+    return moved.union(merged.join(found, F.col("node") == F.col("h"), "left_anti").select("node", "top"))
 
 
 def dedup_lines(docs: DataFrame, least: float = LEAST, removed: str = "n_removed", lines: str = "n_lines") -> DataFrame:

@@ -133,6 +133,48 @@ def test_line_recall_against_brute_force(spark):
     assert all(root[at[back[a]]] == root[at[back[b]]] for a, b in got.items())  # no wrong merges
 
 
+def family(rng, n):
+    """Lines of one template, most pairs too far apart, all in common buckets."""
+    base = [rng.choice(data.WORDS) + rng.choice(["", "ing", "ed"]) for _ in range(60)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(60), rng.randint(1, 12)):
+            words[at] = rng.choice(data.OTHER) + rng.choice(data.WORDS)
+        out.append(" ".join(words))
+    return out
+
+
+def test_no_link_of_a_bucket_is_lost(spark):
+    rng = random.Random(8)
+    lines = sorted({x for _ in range(3) for x in family(rng, 150)} | set(variants(rng, 60)))
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 10])) for i in range(0, len(lines), 10)], "doc_id long, text string")
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+    h = [x - (1 << 64) if x >> 63 else x for x in h]
+    got = {r.h: r.root for r in linededup.line_classes(docs).collect()}
+    own = [linededup.normal(x) for x in lines]
+    bands = [set(x) for x in linededup.band_keys(linededup.signatures(own)).tolist()]
+    links = [(h[a], h[b]) for a, b in combinations(range(len(lines)), 2) if bands[a] & bands[b] and linededup.jaccard(own[a], own[b]) >= 0.8]
+    root, size = groups(h, links), {}
+    for x in h:
+        size[root[x]] = size.get(root[x], 0) + 1
+    assert got == {x: r for x, r in root.items() if size[r] > 1} and len(set(got.values())) > 20
+    # the first step alone loses some
+    buckets = linededup._buckets(linededup._banded(linededup._lines(docs.select("text"))))
+    met = {(r.u, r.v) for r in linededup._near_first(buckets).collect()}
+    near = {(min(e), max(e)) for e in links} & met
+    assert groups(h, near) != root
+
+
+def test_outlines_bound_the_difference():
+    rng = random.Random(9)
+    own = [linededup.normal(x) for x in [*family(rng, 30), *variants(rng, 20), "short", "tiny x"]]
+    size, words = linededup.outlines(own)
+    for a, b in combinations(range(len(own)), 2):
+        x, y = linededup.shingles(own[a]), linededup.shingles(own[b])
+        assert size[a] == len(x) and sum(bin(int(u ^ v) & (1 << 64) - 1).count("1") for u, v in zip(words[a], words[b], strict=True)) <= len(x ^ y)
+
+
 def test_dedup_lines(spark):
     long = "the quick brown fox jumps over the lazy dog while the old man reads a very long newspaper in the sun"
     docs = [(3, f"{long}\nonly here at three\n\n{long}  ", 1), (1, f"\t{long}!\nfirst line of one", 1), (2, None, 1), (4, "", 1), (5, "  \n", 1), (6, long, 1), (None, "nobody's line\nfirst line of one", 1)]
