@@ -20,6 +20,8 @@ from .tokens import forget, slices
 #: Characters of a shingle, MinHash values of a band, bands, least Jaccard similarity. At 0.8 a pair misses all bands
 #: with probability (1 - 0.8^3)^8 = 0.3 %, at 0.9 with 0.003 %.
 SHINGLE, ROWS, BANDS, LEAST = 8, 3, 8, 0.8
+#: 64-bit words of a line's outline: at 16 few pairs of lines of some hundred characters below 0.78 pass its bound.
+WORDS = 16
 _MULTIPLY = np.random.default_rng(20).integers(0, 1 << 31, ROWS * BANDS, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.default_rng(21).integers(0, 1 << 32, ROWS * BANDS, np.uint32)
 
@@ -139,12 +141,12 @@ def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def outlines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of normalised lines: the sizes of their shingle sets, and (lines, 4) 64-bit words with the parities of the sets
-    dealt over 256 bits. Two lines' words differ in at most as many bits as shingles are in one of the sets alone."""
-    own = [shingles(x) for x in lines]
+    """Of normalised lines: the sizes of their shingle sets, and (lines, WORDS) 64-bit words with the parities of the
+    sets dealt over their bits. Two lines' words differ in at most as many bits as shingles are in one of the sets alone."""
+    bits, own = 64 * WORDS, [shingles(x) for x in lines]
     size = np.fromiter(map(len, own), np.int64, len(own))
-    place = np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) & 255 for s in own for x in s), np.int64, int(size.sum()))
-    odd = np.bincount(np.repeat(np.arange(len(own)) * 256, size) + place, minlength=256 * len(own)).reshape(-1, 256) & 1
+    place = np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) % bits for s in own for x in s), np.int64, int(size.sum()))
+    odd = np.bincount(np.repeat(np.arange(len(own)) * bits, size) + place, minlength=bits * len(own)).reshape(-1, bits) & 1
     return size, np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
 
 
@@ -152,11 +154,13 @@ def _outlined(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lines = pdf["line"].tolist()
-            for part in slices(lines, 500_000):
-                size, words = outlines([normal(lines[i]) for i in part])
-                yield pd.DataFrame({"h": pdf["h"].to_numpy(np.int64)[part], "n": size, **{f"w{k}": words[:, k] for k in range(4)}})
+            for run_of in slices(lines, 200_000):
+                for a in range(0, len(run_of), 500):
+                    part = run_of[a : a + 500]
+                    size, words = outlines([normal(lines[i]) for i in part])
+                    yield pd.DataFrame({"h": pdf["h"].to_numpy(np.int64)[part], "n": size, **{f"w{k}": words[:, k] for k in range(WORDS)}})
 
-    return texts.select("h", "line").mapInPandas(run, "h long, n long, w0 long, w1 long, w2 long, w3 long")
+    return texts.select("h", "line").mapInPandas(run, "h long, n long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
 
 
 def _across(unsettled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -167,8 +171,8 @@ def _across(unsettled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     of the sets' sizes, and the difference of their parities, at most the (1 - s) / (1 + s) part of both sizes at similarity s."""
     known = unsettled.join(_outlined(texts.join(unsettled.select("h").distinct(), "h", "left_semi")), "h")
     known = written(known, "unsettled")
-    x, y = (known.select("band", *(F.col(c).alias(c + side) for c in ("h", "before", "root", "head", "n", "w0", "w1", "w2", "w3"))) for side in "xy")
-    differing = reduce(add, (F.bit_count(F.col(f"w{k}x").bitwiseXOR(F.col(f"w{k}y"))) for k in range(4)))
+    x, y = (known.select("band", *(F.col(c).alias(c + side) for c in ("h", "before", "root", "head", "n", *(f"w{k}" for k in range(WORDS))))) for side in "xy")
+    differing = reduce(add, (F.bit_count(F.col(f"w{k}x").bitwiseXOR(F.col(f"w{k}y"))) for k in range(WORDS)))
     near = F.col("rootx") != F.col("rooty")
     near &= (F.col("rooty") == F.col("heady")) | (F.col("hx") < F.col("hy"))
     near &= (F.col("hx") != F.col("beforey")) & (F.col("hy") != F.col("beforex"))
