@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .operators import compare, content, graph, measures
+from .operators.media import hash_matches, sign_hash
 from .plans import files, history, media  # noqa: F401 (their queries register)
 from .plans.registry import oracle_sql, queries, query  # noqa: F401
 from .sources import repository as repo
@@ -343,6 +344,11 @@ def perceptual_pairs(s, d):
     return h.select(F.col("vec_id").alias("a"), "bits").join(h.select(F.col("vec_id").alias("b"), "bits"), "bits").where("a < b").select("a", "b")
 
 
+@query("WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings), c AS (SELECT bits, CAST(bits AS BIT) AS x, min(vec_id) AS id FROM h GROUP BY bits) SELECT c.id AS a, e.id AS b, 1 - bit_count(xor(c.x, e.x)) / 64.0 AS similarity FROM c JOIN c e ON c.id < e.id WHERE 1 - bit_count(xor(c.x, e.x)) / 64.0 >= 0.85 UNION ALL SELECT c.id, h.vec_id, 1.0 FROM h JOIN c USING (bits) WHERE h.vec_id > c.id")
+def perceptual_matches(s, d):
+    return hash_matches(repo.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), sign_hash(F.col("embedding")).alias("hash")))
+
+
 @query(with_tables("base", "SELECT path, 'objects/' || substr(oid, 1, 2) || '/' || substr(oid, 3, 2) || '/' || oid AS stored_at, CASE WHEN size < 1048576 THEN 'small' ELSE 'medium' END AS class FROM base"))
 def shard_paths(s, d):
     return _trees(s, d)[0].select("path", scalar.shard_path(F.col("oid")).alias("stored_at"), scalar.size_class(F.col("size")).alias("class"))

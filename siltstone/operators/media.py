@@ -168,6 +168,42 @@ def image_size(data: Column) -> Column:
     return F.when(head.startswith("89504E47"), of(at(16, 4), at(20, 4))).when(head.startswith("474946"), of(little(6, 2), little(8, 2))).when(head.startswith("424D"), of(little(18, 4), little(22, 4))).when(head.startswith("38425053"), of(at(18, 4), at(14, 4)))
 
 
+# perceptual hashes
+
+
+def sign_hash(values: Column) -> Column:
+    """64 bits, the first value's highest: whether each is over 0."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
+
+
+def hash_matches(hashes: DataFrame, least: float = 0.85) -> DataFrame:
+    """hashes (id, hash: 64 bits as a long) -> a, b, similarity: all pairs of at least that similarity, those of equal hashes as classes.
+
+    Items of one hash are a class, its smallest id stands for it: each other item is a row of similarity 1 with the
+    class's first, and similar hashes are a row of their first items, a < b. So copies cost no rows that grow with the
+    square, and two items match if their classes are one or linked. Exact: with so many bands that hashes of the least
+    similarity differ in at most one bit of some band, a hash meets all within one bit of each of its bands, and the
+    first such band of a pair keeps it. Null hashes match nothing.
+    """
+    most = max(d for d in range(65) if 1 - d / 64 >= least)
+    n = most // 2 + 1
+    cuts = [64 * k // n for k in range(n + 1)]
+    masks = [((1 << b) - (1 << a)) - (1 << 64 if b == 64 else 0) for a, b in zip(cuts, cuts[1:], strict=False)]
+    items = hashes.where("hash is not null")
+    classes = items.groupBy("hash").agg(F.min("id").alias("first"))
+    own = F.array(*(F.struct(F.lit(k).alias("band"), F.col("hash").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))
+    flips = [[0, *(1 << i if i < 63 else -1 << 63 for i in range(a, b))] for a, b in zip(cuts, cuts[1:], strict=False)]
+    near = F.array(*(F.struct(F.lit(k).alias("band"), F.col("hash").bitwiseXOR(F.lit(x)).bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks) for x in flips[k]))
+    left = classes.select(F.col("first").alias("a"), F.col("hash").alias("ha"), F.explode(own).alias("at")).select("a", "ha", "at.*")
+    right = classes.select(F.col("first").alias("b"), F.col("hash").alias("hb"), F.explode(near).alias("at")).select("b", "hb", "at.*")
+    unlike = F.col("ha").bitwiseXOR(F.col("hb"))
+    band = F.coalesce(*(F.when(F.bit_count(unlike.bitwiseAND(F.lit(m))) <= 1, k) for k, m in enumerate(masks)))
+    meets = (left["band"] == right["band"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(unlike) <= most) & (band == left["band"])
+    pairs = left.join(right, meets).select("a", "b", (1 - F.bit_count(unlike) / F.lit(64)).alias("similarity"))
+    copies = items.join(classes, "hash").where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(copies)
+
+
 # decisions
 
 

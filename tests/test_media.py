@@ -1,3 +1,4 @@
+import random
 import struct
 
 from siltstone.operators import media
@@ -50,3 +51,24 @@ def test_odd_content(spark):
     rows = [(1, None), (2, b""), (3, b"plain"), (4, b"RIFF"), (5, b"\0\0\0\0ftyp")]
     got = media.segments(spark.createDataFrame(rows, "k int, x binary"), "k", "x").collect()
     assert sorted((r.k, r.type, r.offset, r.size) for r in got) == [(3, "data", 0, 5), (4, "rest", 0, 4), (5, "ftyp", 0, 8)]
+
+
+def test_hash_matches(spark):
+    """All similar pairs of whole 64-bit hashes, against brute force: 9 unlike bits are similar, 10 aren't, wherever they are."""
+    rng = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hashes = [rng.getrandbits(64) for _ in range(40)]
+    for h in hashes[:30]:
+        for n in (0, 1, 8, 9, 10, 11):
+            hashes.append(h ^ sum(1 << k for k in rng.sample(range(64), n)))
+    hashes += [hashes[0] ^ 0x1FF << k for k in range(0, 56, 5)] + [hashes[1] ^ ((1 << 48) - 1), 0, (1 << 64) - 1] + [hashes[2]] * 50
+    rows = list(enumerate(hashes)) + [(9999, None)]
+    got = media.hash_matches(spark.createDataFrame([(i, None if h is None else signed(h)) for i, h in rows], "id long, hash long")).collect()
+    first = {}
+    for i, h in enumerate(hashes):
+        first.setdefault(h, i)
+    want = {(first[h], i, 1.0) for i, h in enumerate(hashes) if first[h] != i}
+    ids = sorted((i, h) for h, i in first.items())
+    want |= {(a, b, 1 - (x ^ y).bit_count() / 64) for k, (a, x) in enumerate(ids) for b, y in ids[k + 1 :] if 1 - (x ^ y).bit_count() / 64 >= 0.85}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert sum(s == 1 - 9 / 64 for *_, s in want) > 30
