@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,10 @@ KINDS = ("assign", "access", "hex", "owned")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MOST_CHARS = 256
 LEAST_BITS = 3.0
+#: Characters on each side of a candidate that tell a near copy of a document from another text with the same value.
+AROUND = 40
+#: A value in more repositories than these is widely copied: with several owners, and under one owner alone.
+MANY, MANY_OF_ONE = 16, 100
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -50,50 +55,64 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-SCANNED = "doc_id long, owner string, repository string, base array<struct<a:int,k:int,b:int>>, found array<struct<a:int,b:int,h:string>>"
+SCANNED = "doc_id long, owner string, repository string, base array<struct<a:int,k:int,b:int>>, found array<struct<a:int,b:int,h:string,around:long>>, copy string"
 
 
 def scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
-    """docs -> doc_id, owner, repository, base spans, candidates with the SHA-256 of their value. Null text is empty."""
+    """docs -> doc_id, owner, repository, base spans, candidates with the SHA-256 of their value and a checksum of what is
+    around it, and the SHA-256 of a text with candidates. Null text is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf.pop("text").tolist()
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             pdf["base"] = [[{"a": a, "k": k, "b": b} for a, k, b in base_spans(t)] for t in texts]
-            pdf["found"] = [[{"a": a, "b": b, "h": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, b, v in candidates(t)] for t in texts]
+            pdf["found"] = [[{"a": a, "b": b, "h": digest(v), "around": zlib.crc32((t[max(0, a - AROUND) : a] + "\0" + t[b : b + AROUND]).encode())} for a, b, v in candidates(t)] for t in texts]
+            pdf["copy"] = [digest(t) if f else None for t, f in zip(texts, pdf["found"], strict=True)]
             yield pdf
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCANNED)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(h, n_repositories, n_owners) of each candidate value over the whole corpus. Rows are counted in partial sums,
-    first by value, owner and repository, so a value that a third of all rows hold doesn't meet in one task. Null owners and repositories count as one of their own."""
-    held = scanned.select(F.explode("found.h").alias("h"), F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repository", F.lit("\0")).alias("repository"))
-    per = held.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("h", "owner").agg(F.count("*").alias("n"))
-    return per.groupBy("h").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
-
-
-def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 1) -> DataFrame:
-    """docs -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_example, n_new.
-
-    Base spans stay. The method adds a span of kind `owned` for each candidate whose value at most most_owners owners
-    hold, in however many of their repositories, unless a base span covers it already (n_owned counts all of them,
-    n_new those added). Values of more owners are widely copied examples: n_example counts them, and they add nothing.
+    """(h, n_repositories, n_owners, apart) of each candidate value over the whole corpus. Copies of one text count once,
+    for the least of their owners and its least repository. apart: not all texts have the same around the value. Rows are
+    counted in partial sums, first by value and text, then by value, owner and repository, so a value that a third of all
+    rows hold doesn't meet in one task. Null owners and repositories count as one of their own."""
+    held = scanned.select("copy", F.explode("found").alias("x"), F.struct(F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repository", F.lit("\0")).alias("repository")).alias("holder")).select("copy", "x.h", "x.around", "holder")
+    texts = held.groupBy("h", "copy").agg(F.min("holder").alias("holder"), F.min("around").alias("lo")).select("h", "holder.*", "lo", F.col("lo").alias("hi"))
+    ends = F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    per = texts.groupBy("h", "owner", "repository").agg(*ends).groupBy("h", "owner").agg(F.count("*").alias("n"), *ends)
+    return per.groupBy("h").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"), (F.min("lo") != F.max("hi")).alias("apart"))
+
+
+def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 1, many: int = MANY, many_of_one: int = MANY_OF_ONE) -> DataFrame:
+    """docs -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_example, n_new, candidates.
+
+    Base spans stay. The method adds a span of kind `owned` for each candidate that isn't widely copied, unless a base
+    span covers it already (n_owned counts all of them, n_new those added). Widely copied examples are values of more
+    than most_owners owners whose texts differ around the value or that more than `many` repositories hold, and values
+    of fewer owners in more than many_of_one repositories: n_example counts them, and they add nothing. Copies of one
+    text count once; near copies of a document, alike around the value, don't make an example of it until they are many.
+    candidates: start:end:n_repositories:n_owners of each candidate, by start.
     Rows with equal or null doc_id stay rows. Null text has no spans: base_sha256 is that of the empty string.
     """
     scanned = written(scan(docs, owner, repository).select(F.monotonically_increasing_id().alias("rid"), "*"), "scanned")
     known = written(ownership(scanned), "ownership")
     each = scanned.where("size(found) > 0").select("rid", "base", F.explode("found").alias("x")).select("rid", "x.*", F.exists("base", lambda s: (s["a"] <= F.col("x.a")) & (s["b"] >= F.col("x.b"))).alias("inside"))
     judged = each.join(known, "h")
-    live = F.col("n_owners") <= most_owners
+    several = F.col("n_owners") > most_owners
+    live = ~F.when(several, F.col("apart") | (F.col("n_repositories") > many)).otherwise(F.col("n_repositories") > many_of_one)
     new = live & ~F.col("inside")
-    per = judged.groupBy(F.col("rid").alias("of")).agg(F.count_if(live).alias("n_owned"), F.count_if(~live).alias("n_example"), F.collect_list(F.when(new, F.struct("a", F.lit(3).alias("k"), "b"))).alias("more"))
+    per = judged.groupBy(F.col("rid").alias("of")).agg(F.count_if(live).alias("n_owned"), F.count_if(~live).alias("n_example"), F.collect_list(F.when(new, F.struct("a", F.lit(3).alias("k"), "b"))).alias("more"), F.collect_list(F.struct("a", "b", "n_repositories", "n_owners")).alias("counts"))
     out = scanned.join(per, scanned.rid == per.of, "left")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1), s["a"], s["b"])), ",")
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
@@ -108,6 +127,7 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
         F.coalesce("n_owned", F.lit(0)).alias("n_owned"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
         F.size(more).cast("long").alias("n_new"),
+        F.coalesce(F.array_join(F.transform(F.array_sort("counts"), lambda c: F.concat_ws(":", c["a"], c["b"], c["n_repositories"], c["n_owners"])), ","), F.lit("")).alias("candidates"),
     )
 
 

@@ -138,6 +138,23 @@ def test_secrets(spark):
     assert secrets.secrets(data.table(spark, [])).count() == 0 and secrets.secrets(data.table(spark)).count() == data.table(spark).count()
 
 
+def test_secrets_judged_by_repositories_and_owners(spark):
+    rng = random.Random(11)
+    live, near, example, template, few = ("Ab1" + "".join(rng.choices("defXYZ2345", k=30)) for _ in range(5))
+    docs = [(i, f"my {live} key", f"s{i % 2}") for i in range(30)]  # copies of one text under two owners
+    docs += [(100 + i, f"{data.prose(rng, 30)} {'same words stand around this value on both sides ' * 2}{near} {'and here too ' * 5}", f"s{i}") for i in range(2)]  # near copies
+    docs += [(200 + i, f"{i} {example}", "hot") for i in range(150)]  # many repositories under one owner
+    docs += [(400 + i, f"{i}{' ' * 50}{template}", f"s{i % 3}") for i in range(20)]  # many, alike around the value
+    docs += [(500 + i, f"{i} {few}", "s1") for i in range(20)]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    want = {0: (1, 0, "3:36:1:1"), 100: (1, 0, "2:2"), 200: (0, 1, "150:1"), 400: (0, 1, "20:3"), 500: (1, 0, "20:1")}
+    for d, text, _ in docs:
+        n_owned, n_example, counts = want[next(k for k in reversed(want) if k <= d)]
+        r = got[d]
+        assert (r.n_owned, r.n_example, r.n_new) == (n_owned, n_example, n_owned) and r.candidates.endswith(counts), r
+        assert r.spans == (f"owned:{':'.join(r.candidates.split(':')[:2])}" if n_owned else "")
+
+
 def test_marginals_equal_brute_force():
     rng = np.random.default_rng(1)
     counts = np.array([1, 2, 5, 3])
