@@ -155,6 +155,17 @@ def test_secrets_judged_by_repositories_and_owners(spark):
         assert r.spans == (f"owned:{':'.join(r.candidates.split(':')[:2])}" if n_owned else "")
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(12)
+    runs = ["Zk3" + "".join(rng.choices("abcXYZ0189+/", k=n)) + "z" for n in (252, 253, 254, 1000, 100_000)]
+    docs = [(i, f"key {x}.", "s1") for i, x in enumerate(runs)] + [(10, f"see {runs[3]} there", "s2"), (11, f"path/{'dir/' * 80}{runs[0]}", "s1")]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    for i in (0, 1, 2, 4):
+        assert got[i].spans == f"owned:4:{4 + len(runs[i])}"
+    assert got[3].n_example == got[10].n_example == 1 and got[3].spans == ""  # of two owners
+    assert got[11].spans == f"owned:0:{len(docs[-1][1])}"
+
+
 def test_marginals_equal_brute_force():
     rng = np.random.default_rng(1)
     counts = np.array([1, 2, 5, 3])
