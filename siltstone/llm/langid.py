@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,15 +23,16 @@ MOST_DOCS, MOST_CHARS = 150, 20_000
 SEQUENCE, EPOCHS, SEED = 64, 4, 7
 CHUNK = 128
 _CACHE_WORDS = 250_000
+_LONG = 100_000
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed affixes to three letters, n-grams of two and three, and the word itself, for the lexicon."""
+def word_features(word: str) -> Iterator[int]:
+    """Hashed affixes to three letters, all n-grams of two and three, and the word itself, for the lexicon."""
     marked = f"^{word}$"
     names = [f"l{word}"]
     names += [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [f"n{marked[i : i + k]}" for k in (2, 3) for i in range(max(0, len(marked) - k + 1))][:40]
-    return [zlib.crc32(x.encode()) % FEATURES for x in names]
+    grams = (f"n{marked[i : i + k]}" for k in (2, 3) for i in range(max(0, len(marked) - k + 1)))
+    return (zlib.crc32(x.encode()) % FEATURES for x in chain(names, grams))
 
 
 def words(text: str) -> list[str]:
@@ -95,9 +97,12 @@ class Model:
 
     def emissions(self, vocabulary: list[str]) -> np.ndarray:
         """Positive factors of each word, 1 for its best label."""
-        feats = [word_features(w) for w in vocabulary]
+        feats = [list(word_features(w)) if len(w) <= _LONG else [0] for w in vocabulary]
         n = np.fromiter(map(len, feats), np.int64, len(feats))
         score = np.add.reduceat(self.weights[np.fromiter((i for f in feats for i in f), np.int64, int(n.sum()))], np.cumsum(n) - n, axis=0)
+        for k, w in enumerate(vocabulary):
+            if len(w) > _LONG:  # the same sum, without a row for each feature
+                score[k] = np.bincount(np.fromiter(word_features(w), np.int64), minlength=FEATURES) @ self.weights
         return np.exp(np.maximum(score - score.max(1, keepdims=True), -30.0))
 
 
@@ -132,7 +137,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS) -> Model | None:
     rows = max(1, total // SEQUENCE)
     size = min(SEQUENCE, total)
     x, y = np.concatenate(stretches)[: rows * size].reshape(rows, size), np.concatenate(truth)[: rows * size].reshape(rows, size)
-    feats = [word_features(w) for w in vocabulary]
+    feats = [list(word_features(w)) for w in vocabulary]
     n_feats = np.fromiter(map(len, feats), np.int64, len(feats))
     flat, start = np.fromiter((i for f in feats for i in f), np.int64, int(n_feats.sum())), np.cumsum(n_feats) - n_feats
     seen_w, seen_t = np.full_like(model.weights, 1e-6), np.full_like(model.transitions, 1e-6)

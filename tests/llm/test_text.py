@@ -211,6 +211,23 @@ def test_language(spark):
     assert [(r.lang_pred, r.score) for r in langid.predict(one, langid.learn(one)).collect()] == [("en", 1.0)]
 
 
+def test_language_of_long_words(spark):
+    long = "abcdefghijklmnopqrstuvwxyz" * 3
+    marked = f"^{long}$"
+    grams = Counter(zlib.crc32(f"n{marked[i : i + k]}".encode()) % langid.FEATURES for k in (2, 3) for i in range(len(marked) - k + 1))
+    assert not grams - Counter(langid.word_features(long))
+    model = langid.learn(data.table(spark))
+    glued = lambda words: "".join(w for w in words if w.isalpha())
+    one, plain = glued(data.OTHER) * 1000, langid._LONG
+    langid._LONG = 10
+    summed = model.emissions([one, "wald"])
+    langid._LONG = 1 << 40
+    assert np.allclose(model.emissions([one, "wald"]), summed)
+    langid._LONG = plain
+    for head, tail, lang in ((data.WORDS, data.OTHER, "de"), (data.OTHER, data.WORDS, "en")):
+        assert langid.Labeller(model).label([glued(head)[:60] + glued(tail) * 4])[0][0] == lang
+
+
 def test_sharding(spark):
     rows = data.rows(n=60) + [(i, f"t{i}", "en", "s", 1, 1, "", "", "", "") for i in range(1000, 3000)]
     df, tree = data.table(spark, rows), sharding.even_tree(41)
