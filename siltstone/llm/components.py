@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import written
+
+#: Links that a task takes at least: a few links aren't dealt over as many tasks as a large shuffle has.
+TASK_LINKS = 100_000
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -15,29 +18,37 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 
 def _large(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours, linked to the least of it and its neighbours: as many links as before at most."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _least(down)
+    """Each node and its smaller neighbours, linked to the least of these. u > v in all links."""
+    near = _least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     links = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
     return links.where("u <> v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u > v has one v, which has no smaller neighbour itself."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links, either way round, of any ordered type -> (node, root): root is the smallest node that node reaches.
 
     Only nodes of links between different nodes are returned; null ends are dropped; repeated links count once.
-    Each round is cut with checkpoint() in the shared folder, so a lost executor doesn't replay the rounds.
+    Each round is a table in the shared folder, so a lost executor doesn't replay the rounds.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.select("u", "v").where("u <> v").distinct().checkpoint()
-    mark = None
+
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     while True:
-        now = _small(_large(now)).checkpoint()
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = seen
+        tasks = max(2, now.count() // TASK_LINKS)
+        now = now.coalesce(tasks)
+        if _stars(now):
+            break
+        now = written(_small(_large(now)).coalesce(tasks), "links")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

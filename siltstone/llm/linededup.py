@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from operator import add, or_
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, located, table, written
 from .components import components
-from .tokens import forget, slices
+from .tokens import forget, runs, slices
 
 #: Characters of a shingle, MinHash values of a band, bands, least Jaccard similarity. At 0.8 a pair misses all bands
 #: with probability (1 - 0.8^3)^8 = 0.3 %, at 0.9 with 0.003 %.
@@ -79,17 +78,40 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def similar(a: str, of_b: set[str], least: float) -> bool:
-    """Whether the exact Jaccard similarity is at least `least`. A line of n characters has at most n - 7 different
-    shingles, and a similarity is at most the ratio of the sets' sizes."""
-    n = max(1, len(a) - SHINGLE + 1)
-    if n < least * len(of_b):
-        return False
-    x = shingles(a)
-    if len(of_b) < least * len(x):
-        return False
-    both = len(x & of_b)
-    return both >= least * (len(x) + len(of_b) - both)
+#: Lines whose shingles are hashed at a time: a line's number takes 10 bits beside a shingle's 54.
+_TOGETHER, _HASH = 1 << 10, np.uint64(54)
+
+
+def tagged(lines: list[str]) -> np.ndarray:
+    """Of up to 1,024 normalised lines, the distinct shingles as sorted keys: the line's number in the upper 10 bits, a
+    hash of the shingle in the others."""
+    padded = [x.ljust(SHINGLE, "\0") for x in lines]
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    h = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    for n in (1, 2, 4):  # of two characters, then four, then eight
+        h = h[:-n] * np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) + h[n:]
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    of = np.repeat(np.arange(len(lines)), size)[: len(h)]
+    whole = np.arange(len(h)) <= np.cumsum(size)[of] - SHINGLE
+    keys = (h[whole] >> np.uint64(64) - _HASH) | (of[whole].astype(np.uint64) << _HASH)
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Of up to 1,024 pairs of normalised lines, which have a Jaccard similarity of at least `least`. Hashes decide where
+    the count of common shingles isn't within 2 of the bound, else the shingles themselves."""
+    x, y = tagged(a), tagged(b)
+    both = np.concatenate([x, y])
+    both.sort()
+    count = lambda keys: np.bincount((keys >> _HASH).astype(np.int64), minlength=len(a))
+    n = count(both[1:][both[1:] == both[:-1]])
+    over = n - least * (count(x) + count(y) - n)
+    good = over > 0
+    for k in np.nonzero(np.abs(over) <= 2)[0].tolist():
+        good[k] = jaccard(a[k], b[k]) >= least
+    return good
 
 
 def _lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -134,52 +156,57 @@ def _near_first(buckets: DataFrame) -> DataFrame:
 
 def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """(band, before, h, root, head) of the lines, but for the first, of buckets of four or more lines in which more than
-    one component meets; head is that of the second line. The first has met all others, and three lines are all neighbours."""
+    one component meets; head is the component of most of them. The first has met all others, and three lines are all neighbours."""
     rooted = buckets.join(found, "h", "left").select("band", "before", "h", F.coalesce("root", "h").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "h").alias("head"))
-    return rooted.join(mixed.where("n >= 3 AND lo < hi").select("band", "head"), "band")
+    per = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
+    return rooted.join(mixed.where("n >= 3 AND roots > 1").select("band", F.col("most.root").alias("head")), "band")
 
 
 def outlines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of normalised lines: the sizes of their shingle sets, and (lines, WORDS) 64-bit words with the parities of the
     sets dealt over their bits. Two lines' words differ in at most as many bits as shingles are in one of the sets alone."""
-    bits, own = 64 * WORDS, [shingles(x) for x in lines]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    place = np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) % bits for s in own for x in s), np.int64, int(size.sum()))
-    odd = np.bincount(np.repeat(np.arange(len(own)) * bits, size) + place, minlength=bits * len(own)).reshape(-1, bits) & 1
-    return size, np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+    bits, sizes, words = 64 * WORDS, [], []
+    for a in range(0, len(lines), _TOGETHER):
+        keys, n = tagged(lines[a : a + _TOGETHER]), len(lines[a : a + _TOGETHER])
+        of = (keys >> _HASH).astype(np.int64)
+        odd = np.bincount(of * bits + (keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits * n).reshape(n, bits) & 1
+        sizes.append(np.bincount(of, minlength=n))
+        words.append(np.packbits(odd.astype(np.uint8), axis=1).view("<i8"))
+    return np.concatenate(sizes), np.concatenate(words)
 
 
 def _outlined(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lines = pdf["line"].tolist()
-            for run_of in slices(lines, 200_000):
-                for a in range(0, len(run_of), 500):
-                    part = run_of[a : a + 500]
-                    size, words = outlines([normal(lines[i]) for i in part])
-                    yield pd.DataFrame({"h": pdf["h"].to_numpy(np.int64)[part], "n": size, **{f"w{k}": words[:, k] for k in range(WORDS)}})
+            for part in slices(lines, 200_000, 500):
+                size, words = outlines([normal(lines[i]) for i in part])
+                yield pd.DataFrame({"h": pdf["h"].to_numpy(np.int64)[part], "n": size, **{f"w{k}": words[:, k] for k in range(WORDS)}})
 
     return texts.select("h", "line").mapInPandas(run, "h long, n long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
 
 
 def _across(unsettled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Distinct (u, v), u < v, of all pairs that share a bucket but no component and may be similar.
+    """(u, v), u < v, of all pairs that share a bucket but no component and may be similar, each once.
 
     A pair of different components has a line outside the head's, so those lines meet all of their bucket but their
     neighbours, which they have met. The join puts out only pairs within two bounds that no similar pair breaks: the ratio
-    of the sets' sizes, and the difference of their parities, at most the (1 - s) / (1 + s) part of both sizes at similarity s."""
-    known = unsettled.join(_outlined(texts.join(unsettled.select("h").distinct(), "h", "left_semi")), "h")
+    of the sets' sizes, and the difference of their parities, at most the (1 - s) / (1 + s) part of both sizes at similarity
+    s. A pair of several buckets comes from the least of them only: there too one of it is outside the head, or it has met."""
+    own = unsettled.groupBy("h").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # BANDS at most
+    known = unsettled.join(_outlined(texts.join(own.select("h"), "h", "left_semi")), "h").join(own, "h")
     known = written(known, "unsettled")
-    x, y = (known.select("band", *(F.col(c).alias(c + side) for c in ("h", "before", "root", "head", "n", *(f"w{k}" for k in range(WORDS))))) for side in "xy")
+    x, y = (known.select("band", *(F.col(c).alias(c + side) for c in ("h", "before", "root", "head", "n", "bands", *(f"w{k}" for k in range(WORDS))))) for side in "xy")
     differing = reduce(add, (F.bit_count(F.col(f"w{k}x").bitwiseXOR(F.col(f"w{k}y"))) for k in range(WORDS)))
     near = F.col("rootx") != F.col("rooty")
     near &= (F.col("rooty") == F.col("heady")) | (F.col("hx") < F.col("hy"))
     near &= (F.col("hx") != F.col("beforey")) & (F.col("hy") != F.col("beforex"))
     near &= F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(least - 1e-9)
     near &= differing <= (F.col("nx") + F.col("ny")) * F.lit((1 - least) / (1 + least) + 1e-9)
+    near &= F.array_min(F.filter("bandsx", lambda b: F.exists("bandsy", lambda c: b == c))) == F.col("x.band")
     met = x.where("rootx <> headx").alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & near)
-    return met.select(F.least("hx", "hy").alias("u"), F.greatest("hx", "hy").alias("v")).distinct()
+    return met.select(F.least("hx", "hy").alias("u"), F.greatest("hx", "hy").alias("v"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -187,12 +214,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            last, own, good = None, set(), []
-            for a, b, v in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["v"].tolist(), strict=True):
-                if v != last:  # pairs come by v from the join, else only speed is lost
-                    last, own = v, shingles(normal(b))
-                good.append(similar(normal(a), own, least))
-            yield pdf.loc[good, ["u", "v"]]
+            a, b = pdf["a"].tolist(), pdf["b"].tolist()
+            for part in runs((len(x) + len(y) for x, y in zip(a, b, strict=True)), 300_000, _TOGETHER):
+                good = similar([normal(a[i]) for i in part], [normal(b[i]) for i in part], least)
+                yield pdf[["u", "v"]].iloc[part][good]
 
     one = texts.select(F.col("h").alias("hu"), F.col("line").alias("a"))
     two = texts.select(F.col("h").alias("hv"), F.col("line").alias("b"))
@@ -232,19 +257,25 @@ def dedup_lines(docs: DataFrame, least: float = LEAST, removed: str = "n_removed
     file, row = fresh(docs, "at_file", "at_row")
     placed = located(docs, file, row)
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"), F.col(file).alias("f"), F.col(row).alias("r"), F.col("no"))
-    first = _lines(placed, "doc_id", file, row).groupBy("h").agg(F.min(place).alias("at"))
-    found = line_classes(docs, least)
-    rooted = first.join(found, "h", "left").select(F.coalesce("root", "h").alias("root"), "at")
-    stay, of_file, of_row = fresh(docs, "stay", "of_file", "of_row")
-    kept = rooted.groupBy("root").agg(F.min("at").alias("at")).groupBy(F.col("at.f").alias(of_file), F.col("at.r").alias(of_row)).agg(F.collect_list("at.no").alias(stay))
+    # two hashes, so that lines without near copies are one only if 128 bits agree
+    first = _lines(placed, "doc_id", file, row).groupBy("h", F.xxhash64("line", F.lit(1)).alias("h2")).agg(F.min(place).alias("at"))
+    rooted = first.join(line_classes(docs, least), "h", "left").select(F.coalesce("root", "h").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).alias("h2"), "at")
+    stay, count, of_file, of_row = fresh(docs, "stay", "n_stay", "of_file", "of_row")
+    kept = rooted.groupBy("root", "h2").agg(F.min("at").alias("at")).select(F.col("at.f").alias(of_file), F.col("at.r").alias(of_row), F.expr("at.no div 64").alias("word"), F.expr("shiftleft(1L, at.no % 64)").alias("bit"))
+    # the lines that stay as bits, so that a text of many lines is walked once
+    kept = kept.groupBy(of_file, of_row, "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    kept = kept.groupBy(of_file, of_row).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias(stay), F.sum("n").alias(count))
     joined = placed.join(kept, (F.col(file) == F.col(of_file)) & (F.col(row) == F.col(of_row)), "left")
     cut, blank = F.split("text", "\n"), lambda x: trimmed(x) == ""
-    stays = F.coalesce(F.col(stay), F.expr("cast(array() as array<int>)"))
+    stays = F.coalesce(F.col(count), F.lit(0))
     n = F.coalesce(F.size(F.filter(cut, lambda x: ~blank(x))), F.lit(0))
-    text = F.array_join(F.filter(cut, lambda x, i: blank(x) | F.array_contains(stays, i)), "\n")
-    shorter = F.when(n == F.size(stays), F.col("text")).when(F.size(stays) == 0, F.when(F.col("text").isNull(), F.col("text")).otherwise(F.lit(""))).otherwise(text)
+    flags = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.size(cut) / 64)), lambda w: F.coalesce(F.try_element_at(stay, w), F.lit(0)))
+    # the flags are an argument: within a lambda's body they would be made anew for each line
+    left = F.transform(F.array(flags), lambda f: F.filter(cut, lambda x, i: blank(x) | (F.getbit(F.get(f, F.floor(i / 64).cast("int")), i % 64) == 1)))
+    text = F.array_join(left[0], "\n")
+    shorter = F.when(n == stays, F.col("text")).when(stays == 0, F.when(F.col("text").isNull(), F.col("text")).otherwise(F.lit(""))).otherwise(text)
     keep = [F.when(n == 0, F.col("text")).otherwise(shorter).alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*keep, n.cast("long").alias(lines), (n - F.size(stays)).cast("long").alias(removed))
+    return joined.select(*keep, n.cast("long").alias(lines), (n - stays).cast("long").alias(removed))
 
 
 def without_repeated_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:

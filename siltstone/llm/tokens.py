@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -113,14 +114,19 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray
     return out, lengths + 1
 
 
-def slices(texts: list[str], most: int = 2_000_000):
-    """Runs of texts of about so many characters: what is in memory at a time doesn't follow the batch."""
+def runs(sizes: Iterable[int], most: int, rows: int = 1 << 62) -> Iterator[list[int]]:
+    """Runs of neighbours of about so much size in all and at most so many rows."""
     run, n = [], 0
-    for i, t in enumerate(texts):
+    for i, size in enumerate(sizes):
         run.append(i)
-        n += len(t)
-        if n >= most:
+        n += size
+        if n >= most or len(run) == rows:
             yield run
             run, n = [], 0
     if run:
         yield run
+
+
+def slices(texts: list[str], most: int = 2_000_000, rows: int = 1 << 62) -> Iterator[list[int]]:
+    """Runs of texts of about so many characters: what is in memory at a time doesn't follow the batch."""
+    return runs(map(len, texts), most, rows)
