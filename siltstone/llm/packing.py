@@ -10,14 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .token_files import default_vocabulary
 from .tokens import encoder, slices, with_end
 
 TIERS = (256, 512, 1024, 2048)
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, task long, window long"
 
 
 class Packer:
@@ -27,25 +28,23 @@ class Packer:
     routed to the smallest tier that holds it. From the longest tier down, each item opens a window of its tier; the
     gap takes the longest item that fits from the shorter tiers, again and again, and at last the head of a longer
     one, cut to fit. So windows are full powers of two. What can't fill a window waits for the next documents; only a
-    task's last window may have a gap.
-    Step groups hold windows of one tier and the same number of ids: step_ids // tier windows each.
+    task's last window may have a gap. Each tier's windows are numbered.
     """
 
-    def __init__(self, task: int, tiers: tuple[int, ...], step_ids: int):
-        self.task, self.tiers, self.step_ids, self.sequences = task, sorted(tiers), step_ids, 0
+    def __init__(self, task: int, tiers: tuple[int, ...]):
+        self.task, self.tiers, self.sequences = task, sorted(tiers), 0
         self.windows = dict.fromkeys(self.tiers, 0)
         self.waiting: list[tuple[int, int, int]] = []  # (length, document, start), ascending
         self.out: list[tuple] = []
 
     def _emit(self, tier: int, parts: list[tuple[int, int, int]]) -> None:
         seq = self.task << 36 | self.sequences
-        group = self.task << 36 | self.tiers.index(tier) << 32 | self.windows[tier] // max(1, self.step_ids // tier)
-        self.sequences += 1
-        self.windows[tier] += 1
         at = 0
         for n, doc, start in parts:
-            self.out.append((doc, start, n, seq, at, tier, group))
+            self.out.append((doc, start, n, seq, at, tier, self.windows[tier]))
             at += n
+        self.sequences += 1
+        self.windows[tier] += 1
 
     def add(self, doc: int, n: int) -> None:
         top, start = self.tiers[-1], 0
@@ -56,8 +55,8 @@ class Packer:
             self.waiting.append((n - start, doc, start))
 
     def pack(self, last: bool = False) -> list[tuple]:
-        """(document, start, length, sequence, offset, tier, group) of the windows that are done."""
-        items, held = sorted(self.waiting), []
+        """(document, start, length, sequence, offset, tier, the tier's window) of the windows that are done."""
+        items = sorted(self.waiting)
         total = sum(x[0] for x in items)
         while items:
             tier = next(t for t in self.tiers if t >= items[-1][0])
@@ -78,20 +77,22 @@ class Packer:
                 room -= item[0]
                 total -= item[0]
             self._emit(tier, parts)
-        self.waiting = items + held
+        self.waiting = items
         out, self.out = self.out, []
         return out
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_ids: int = 65_536) -> DataFrame:
-    """All docs (doc_id, text) as pieces of sequences of at most max(tiers) ids. No shuffle: a task packs what it reads.
+    """All docs (doc_id, text) as pieces of sequences of at most max(tiers) ids. Texts aren't shuffled: a task packs what it reads.
 
+    Step groups hold windows of one tier and the same number of ids: step_ids // tier windows each (one at least). The
+    windows are numbered through all tasks, by prefix sums of the tasks' numbers, so each tier has one short group at most.
     Null or empty text is a document of the end id alone. Rows with equal or null doc_id are documents of their own.
     An empty table gives no pieces. Other columns are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, packer = encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers, step_ids)
+        enc, packer = encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers)
         held: dict[int, tuple] = {}  # of documents that have ids in wait: doc_id, ids
         made = 0
 
@@ -107,7 +108,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
                     "sequence_id": [x[3] for x in done],
                     "offset": [x[4] for x in done],
                     "tier": [x[5] for x in done],
-                    "step_group": [x[6] for x in done],
+                    "task": packer.task,
+                    "window": [x[6] for x in done],
                 }
             )
             left = {x[1] for x in packer.waiting}
@@ -127,7 +129,14 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
                 yield rows(packer.pack())
         yield rows(packer.pack(last=True))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
+    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES), "pieces")
+    count = pieces.groupBy("tier", "task").agg((F.max("window") + 1).alias("n"))  # a row for each task and tier
+    before = F.coalesce(F.sum("n").over(W.partitionBy("tier").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.create_map(*(F.lit(x).cast("long") for k, t in enumerate(sorted(tiers)) for x in (t, k)))
+    size = F.greatest(F.lit(1), F.floor(F.lit(step_ids) / F.col("tier")))
+    group = F.shiftleft(number[F.col("tier")], 40) + F.floor((F.col("before") + F.col("window")) / size)
+    columns = [c for c in pieces.columns if c not in ("task", "window")]
+    return pieces.join(count.select("tier", "task", before.alias("before")), ["tier", "task"]).select(*columns, group.alias("step_group"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

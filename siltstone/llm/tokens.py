@@ -29,12 +29,13 @@ def _uneven(piece: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts, without special tokens; their strings in a text are ordinary text.
+    """Ids of whole texts as the tokenizers library gives them for the vocabulary as loaded, with add_special_tokens=False:
+    a special token's string within a text is that token.
 
     A byte-level BPE starts a new word at a space between two characters that aren't white space, and no rule looks
     back across that place. So such texts are cut at their spaces, each distinct piece is encoded once by the tokenizers
-    library, and ids are gathered from an array. Texts with more white space beside a space go to the library whole.
-    With a million pieces the later half is forgotten; that changes no result.
+    library, and ids are gathered from an array. Texts with more white space beside a space, or with a special token's
+    string, go to the library whole. With a million pieces the later half is forgotten; that changes no result.
     """
 
     def __init__(self, path: str):
@@ -42,12 +43,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        added = self.model.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        # what parts pieces that are encoded in one text: the library cuts there before all else
+        self.mark = next(((t.content, k) for k, t in sorted(added.items()) if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
         self.index, self.ids = _Index(), np.zeros(0, self.dtype)
         self.index.new = []
         self.first, self.size, self.uneven = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts without special tokens' strings, and the number of each text's."""
+        if self.mark:
+            text, mark = self.mark
+            ids = np.concatenate([np.array([*e, mark], np.int64) for e in self._plain([text.join(texts[a : a + 256]) for a in range(0, len(texts), 256)])])
+            at = np.nonzero(ids == mark)[0]
+            if len(at) == len(texts):
+                return ids[ids != mark], np.diff(at, prepend=-1) - 1
+        got = self._plain(texts)
+        return np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got))
+
     def _forget(self) -> None:
         n = _MOST_PIECES // 2
         kept = _Index(list(self.index.items())[:n])
@@ -60,12 +78,11 @@ class Encoder:
         new = self.index.new
         if not new:
             return
-        got = [e.ids for e in self.model.encode_batch_fast([x[1:] if x[:1] == " " else " " + x for x in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        ids, size = self._marked([x[1:] if x[:1] == " " else " " + x for x in new])
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.uneven = np.concatenate([self.uneven, np.fromiter(map(_uneven, new), bool, len(new))])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, ids.astype(self.dtype)])
         self.index.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +94,7 @@ class Encoder:
         pieces: list[str] = []
         counts = []
         for t in texts:
-            own = t.split(" ")
+            own = t.split(" ") if not any(x in t for x in self.special) else ["", ""]  # an empty piece: goes whole
             own[0] = " " + own[0]
             pieces += own
             counts.append(len(own))
@@ -89,7 +106,7 @@ class Encoder:
         lengths = np.add.reduceat(size, starts)
         whole = np.nonzero(np.logical_or.reduceat(self.uneven[at], starts))[0].tolist()
         if whole:
-            got = {k: np.array(e.ids, self.dtype) for k, e in zip(whole, self.model.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True)}
+            got = {k: np.array(x, self.dtype) for k, x in zip(whole, self._plain([texts[k] for k in whole]), strict=True)}
             ends = np.cumsum(lengths)
             ids = np.concatenate([got[k] if k in got else ids[ends[k] - lengths[k] : ends[k]] for k in range(len(texts))])
             lengths = np.array([len(got[k]) if k in got else n for k, n in enumerate(lengths)], np.int64)

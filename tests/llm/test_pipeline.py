@@ -71,7 +71,6 @@ def test_run_equals_brute_force(spark, tmp_path):
     sizes = [len(x) for x in steps]
     assert sizes == sorted(set(sizes), reverse=True) and len(corpus_pipeline.STAGES) == len(sizes)  # each stage has work
     tok = Tokenizer.from_file(default_vocabulary())
-    tok.encode_special_tokens = True
     ids = {d: [*tok.encode(t, add_special_tokens=False).ids, 1] for d, t in steps[-1]}
     assert {r.doc_id for r in got} == set(ids)
     for d, own in ids.items():

@@ -16,8 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # untouched, as the contracts have it
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -80,24 +79,77 @@ def test_packing(spark, plain):
     assert pack(data.table(spark, []), PATH).count() == 0
 
 
+def brute_windows(batches, tiers):
+    """The packing rule with plain lists: (tier, [(document, start, length)]) of each window, batch after batch."""
+    out, items = [], []
+    for k, batch in enumerate(batches):
+        for doc, n in batch:
+            for a in range(0, n, max(tiers)):
+                if n - a >= max(tiers):
+                    out.append((max(tiers), [(doc, a, max(tiers))]))
+                else:
+                    items.append((n - a, doc, a))
+        while items:
+            tier = min(t for t in tiers if t >= max(items)[0])
+            total = sum(x[0] for x in items)
+            if total < tier:
+                if k < len(batches) - 1:
+                    break
+                tier = min(t for t in tiers if t >= total)
+            room, parts = tier, []
+            while room and items:
+                fits = [x for x in items if x[0] <= room]
+                n, doc, a = max(fits) if fits else min(items)
+                items.remove((n, doc, a))
+                if n > room:
+                    items.append((n - room, doc, a + room))
+                parts.append((doc, a, min(n, room)))
+                room -= parts[-1][2]
+            out.append((tier, parts))
+    return out
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packer_fills_windows(seed):
-    rng, p = random.Random(seed), Packer(3, (256, 512, 1024, 2048), 8192)
-    done, total = [], 0
-    for d in range(800):
-        n = rng.choice([1, 5, 255, 256, 257, 2047, 2048, 2049, 9000, rng.randint(1, 3000)])
-        p.add(d, n)
-        total += n
-        if d % 100 == 99:
-            done += p.pack()
-    done += p.pack(last=True)
-    seqs, groups = {}, {}
-    for d, s, n, q, o, tier, g in done:
-        seqs.setdefault(q, [tier, 0, g])[1] += n
-    assert sum(x[1] for x in seqs.values()) == total
-    assert sum(x[0] != x[1] for x in seqs.values()) <= 1
-    for tier, _, g in seqs.values():
-        groups.setdefault((g, tier), []).append(tier)
-    assert len({g for g, _ in groups}) == len(groups)  # one tier in a group
-    assert all(sum(x) <= 8192 for x in groups.values())
-    assert {x[0] for x in seqs.values()} == {256, 512, 1024, 2048}
+    rng, p, tiers = random.Random(seed), Packer(3, (256, 512, 1024, 2048)), (256, 512, 1024, 2048)
+    batches = [[(100 * b + d, rng.choice([1, 5, 255, 256, 257, 2047, 2048, 2049, 9000, rng.randint(1, 3000)])) for d in range(100)] for b in range(8)]
+    done = []
+    for b in batches:
+        for d, n in b:
+            p.add(d, n)
+        done += p.pack(last=b is batches[-1])
+    seqs = {}
+    for d, s, n, q, o, tier, k in done:
+        seqs.setdefault(q, (tier, k, []))[2].append((o, d, s, n))
+    got = [(t, [(d, s, n) for _, d, s, n in sorted(x)]) for _, (t, _, x) in sorted(seqs.items())]
+    assert sorted(got) == sorted(brute_windows(batches, tiers))
+    assert sum(t != sum(x[2] for x in w) for t, w in got) <= 1 and {t for t, _ in got} == set(tiers)
+    for tier in tiers:
+        assert sorted(k for t, k, _ in seqs.values() if t == tier) == list(range(sum(t == tier for t, _ in got)))
+
+
+def test_step_groups_are_full_across_tasks(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, data.prose(rng, rng.choice([5, 60, 150, 300, 900, 2500]))) for i in range(300)], "doc_id long, text string").repartition(7)
+    rows = pack(docs, PATH, step_ids=8192).collect()
+    groups = {}
+    for q, tier, g in {(r.sequence_id, r.tier, r.step_group) for r in rows}:
+        groups.setdefault(g, []).append(tier)
+    assert all(len(set(x)) == 1 for x in groups.values()) and len({r.sequence_id >> 36 for r in rows}) == 7
+    short = [x[0] for x in groups.values() if sum(x) != 8192]
+    assert len(short) == len(set(short)) and all(sum(x) <= 8192 for x in groups.values()) and len(groups) > 10
+
+
+def test_special_strings_and_long_texts(spark):
+    rng, untouched = random.Random(3), Tokenizer.from_file(PATH)
+    long = data.prose(rng, 60) + " <|endoftext|>" + " ".join(rng.choice(data.WORDS) for _ in range(400_000))
+    docs = [(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "a<|endoftext|>b\n<|endoftext|> \n"), (4, long), (5, " ".join(rng.choice(data.OTHER) for _ in range(400_000)))]
+    want = {d: untouched.encode(t, add_special_tokens=False).ids for d, t in docs}
+    assert len(want[1]) == 4 and len(long) > 2_000_000
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.token_files(df, PATH).collect()}
+    assert got == {d: (len(x) + 1, crc([*x, 2])) for d, x in want.items()}
+    rows = pack(df, PATH).collect()
+    for r in rows:
+        assert r.ids_crc32 == crc([*want[r.doc_id], 1][r.start : r.start + r.length]) and r.doc_tokens == len(want[r.doc_id]) + 1
+    check_pieces(rows, sum(len(x) + 1 for x in want.values()))
