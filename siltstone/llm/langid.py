@@ -11,15 +11,17 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import forget
+from .tokens import forget, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 1 << 16
-#: Training takes at most so many documents a label, those with the smallest hashes of their ids and at most so many characters.
-MOST_DOCS, MOST_CHARS = 150, 20_000
+#: Training takes at most so many documents a label, those with the smallest hashes of their ids and at most so many
+#: characters, and MOST_DOCS * MOST_LABELS in all, by label. Every document is labelled, whatever its length.
+MOST_DOCS, MOST_CHARS, MOST_LABELS = 150, 20_000, 200
 SEQUENCE, EPOCHS, SEED = 64, 4, 7
 CHUNK = 128
 _CACHE_WORDS = 250_000
@@ -89,17 +91,59 @@ def marginals(emit: np.ndarray, counts: np.ndarray, step: np.ndarray, chunk: int
     return both / both.sum(1, keepdims=True)
 
 
+class _Hashes(dict):
+    """Features of affixes or n-grams by their text; the same as in word_features."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def __missing__(self, x: str) -> int:
+        if len(self) > _CACHE_WORDS:
+            self.clear()
+        self[x] = n = zlib.crc32((self.kind + x).encode()) % FEATURES
+        return n
+
+
+_PREFIX, _SUFFIX, _GRAM = map(_Hashes, "psn")
+
+
+def _text(code: int, k: int) -> str:
+    """Of k code points of 21 bits each."""
+    return "".join(chr(code >> 21 * j & (1 << 21) - 1) for j in range(k - 1, -1, -1))
+
+
 @dataclass
 class Model:
     labels: list[str]
     weights: np.ndarray  # (FEATURES, labels)
     transitions: np.ndarray  # (labels, labels), logarithms
 
+    def _sums(self, words: list[str]) -> np.ndarray:
+        """The summed weights of each word's features, with each distinct n-gram hashed once."""
+        at = lambda ids: self.weights[np.fromiter(ids, np.int64, len(words))]
+        out = at(zlib.crc32(f"l{w}".encode()) % FEATURES for w in words)
+        for k in (1, 2, 3):
+            out += at(_PREFIX[w[:k]] for w in words)
+            out += at(_SUFFIX[w[-k:]] for w in words)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        c = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # characters from here to the word's end
+        code = c
+        for k in (2, 3):
+            code = code[:-1] << 21 | c[k - 1 :]
+            grams, inverse = np.unique(code[left[: len(code)] >= k], return_inverse=True)
+            weights = self.weights[np.fromiter((_GRAM[_text(x, k)] for x in grams.tolist()), np.int64, len(grams))]
+            n = size - k + 1
+            out += np.add.reduceat(weights[inverse], np.cumsum(n) - n, axis=0)
+        return out
+
     def emissions(self, vocabulary: list[str]) -> np.ndarray:
         """Positive factors of each word, 1 for its best label."""
-        feats = [list(word_features(w)) if len(w) <= _LONG else [0] for w in vocabulary]
-        n = np.fromiter(map(len, feats), np.int64, len(feats))
-        score = np.add.reduceat(self.weights[np.fromiter((i for f in feats for i in f), np.int64, int(n.sum()))], np.cumsum(n) - n, axis=0)
+        score = np.empty((len(vocabulary), len(self.labels)))
+        short = [k for k, w in enumerate(vocabulary) if len(w) <= _LONG]
+        for part in slices([vocabulary[k] for k in short], max(_LONG, 2_000_000 // len(self.labels))):
+            own = [short[i] for i in part]
+            score[own] = self._sums([vocabulary[k] for k in own])
         for k, w in enumerate(vocabulary):
             if len(w) > _LONG:  # the same sum, without a row for each feature
                 score[k] = np.bincount(np.fromiter(word_features(w), np.int64), minlength=FEATURES) @ self.weights
@@ -220,18 +264,27 @@ class Labeller:
         return out
 
 
-def learn(docs: DataFrame, most: int = MOST_DOCS) -> Model | None:
+def learn(docs: DataFrame, most: int = MOST_DOCS, most_labels: int = MOST_LABELS) -> Model | None:
     """The field from documents with a label whose crc32(doc_id) mod 4 isn't 2: at most `most` a label, the smallest
-    hashes of ids first (ties: the text), of at most MOST_CHARS characters. One bounded sort for each label."""
+    hashes of ids first (ties: the text), of at most MOST_CHARS characters, and most * most_labels in all, by label.
+
+    Two readings: one ranks ids within the labels, with a limit in each task before anything is shuffled, one fetches
+    the texts of the ids that are left, most * most_labels at most."""
     usable = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").alias("lang")).where(f"lang is not null and text is not null and doc_id is not null and length(text) <= {MOST_CHARS}")
     usable = usable.where(F.pmod(F.crc32(F.col("doc_id").cast("binary")), F.lit(4)) != 2)
-    sample: list[tuple[str, str]] = []
-    for lang in sorted(r[0] for r in usable.select("lang").distinct().collect()):
-        own = usable.where(F.col("lang") == lang)
-        ids = [r[0] for r in own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-        texts = own.where(F.col("doc_id").isin(ids)).select("doc_id", "text").dropDuplicates(["doc_id", "text"]).collect()
-        sample += [(r.text, lang) for r in sorted(texts, key=lambda r: (ids.index(r.doc_id), r.text))[:most]]
-    return fit(sample)
+    of = W.partitionBy("lang").orderBy("hash", "doc_id")
+    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("k", F.row_number().over(of)).where(F.col("k") <= most)
+    found: dict[str, list[str]] = {}
+    for r in ids.select("lang", "doc_id", "k").sort("lang", "k").limit(most * most_labels).collect():
+        found.setdefault(r.lang, []).append(r.doc_id)
+    if not found:
+        return None
+    wanted = docs.sparkSession.createDataFrame([(y, d) for y, own in found.items() for d in dict.fromkeys(own)], "lang string, doc_id string")
+    texts: dict[str, list[tuple[str, str]]] = {}
+    for r in usable.join(F.broadcast(wanted), ["lang", "doc_id"]).select("lang", "doc_id", "text").dropDuplicates().collect():
+        texts.setdefault(r.lang, []).append((r.doc_id, r.text))
+    place = {y: {d: k for k, d in reversed(list(enumerate(own)))} for y, own in found.items()}
+    return fit([(t, y) for y in sorted(texts) for d, t in sorted(texts[y], key=lambda x: (place[y][x[0]], x[1]))[:most]])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -248,8 +301,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for pdf in batches:
             texts = pdf.pop("text").tolist()
             got: list[tuple[str, float, np.ndarray]] = []
-            for a in _runs(texts):
-                got += own.label(a) if own else [("und", 0.0, np.zeros(0, np.int64))] * len(a)
+            for a in slices(texts, 1_000_000):
+                got += own.label([texts[i] for i in a]) if own else [("und", 0.0, np.zeros(0, np.int64))] * len(a)
             pdf["lang_pred"], pdf["score"] = [g[0] for g in got], [g[1] for g in got]
             pdf["n_words"] = [len(g[2]) for g in got]
             pdf["n_other"] = [int((g[2] != own.model.labels.index(g[0])).sum()) if len(g[2]) else 0 for g in got]
@@ -260,19 +313,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_other long")
 
 
-def _runs(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
-    run: list[str] = []
-    n = 0
-    for t in texts:
-        run.append(t)
-        n += len(t)
-        if n >= most:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
-
-
 def language(docs: DataFrame, model: Model | None) -> Column:
     """A struct column for docs (text): lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -282,7 +322,8 @@ def language(docs: DataFrame, model: Model | None) -> Column:
         forget()
         own = Labeller(shared.value) if shared.value else None
         for s in batches:
-            got = [g for a in _runs(s.tolist()) for g in (own.label(a) if own else [("und", 0.0, None)] * len(a))]
+            texts = s.tolist()
+            got = [g for a in slices(texts, 1_000_000) for g in (own.label([texts[i] for i in a]) if own else [("und", 0.0, None)] * len(a))]
             yield pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     return f(F.coalesce("text", F.lit("")))
