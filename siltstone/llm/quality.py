@@ -60,13 +60,14 @@ def counts(texts: list[str], trusted: np.ndarray) -> np.ndarray:
 
 def scores(ids: np.ndarray, n: np.ndarray, numbers: _Numbers, ratio: np.ndarray) -> np.ndarray:
     """Mean log-likelihood ratio over each text's words and word pairs; 0 without words."""
+    out, some = np.zeros(len(n)), np.nonzero(n)[0]
+    if not len(some):
+        return out
     one, two, inside = _grams(ids, n, numbers)
-    total = np.concatenate([[0.0], np.cumsum(ratio[one])])
-    pairs = np.concatenate([[0.0, 0.0], np.cumsum(np.where(inside, ratio[two], 0.0))])[: len(ids) + 1] if len(ids) else np.zeros(1)
-    ends = np.cumsum(n)
-    starts = ends - n
-    both = total[ends] - total[starts] + pairs[ends] - pairs[np.minimum(starts + 1, ends)]
-    return both / np.maximum(1, 2 * n - 1)
+    # each text is summed on its own: its score doesn't depend on what else is in the run
+    values = np.stack([ratio[one], np.append(np.where(inside, ratio[two], 0.0), 0.0)])
+    out[some] = np.add.reduceat(values, (np.cumsum(n) - n)[some], axis=1).sum(0)
+    return out / np.maximum(1, 2 * n - 1)
 
 
 def repeated(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -76,7 +77,8 @@ def repeated(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         return out
     doc = np.repeat(np.arange(len(n)), n)
     start = np.nonzero(doc[2:] == doc[:-2])[0]
-    key = ids[start] << 42 | ids[start + 1] << 21 | ids[start + 2]  # a run has far fewer than 2^21 words
+    pairs = np.unique(ids[start] << 32 | ids[start + 1], return_inverse=True)[1]
+    key = pairs << 32 | ids[start + 2]  # numbers of words and of pairs are below 2^31
     order = np.lexsort((key, doc[start]))
     k, d = key[order], doc[start][order]
     same = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
