@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh, located, table, written
@@ -10,7 +11,8 @@ from .common import fresh, located, table, written
 #: Fixed values of the contract: what a word is (in texts whose A-Z aren't lowered yet) and the letters that are lowered.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many distinct windows the benchmark's are constants of the plan; beyond it they are a table that is joined.
+#: Up to so many distinct windows the benchmark's are constants of the plan, a broadcast set of proven size; beyond it they
+#: are a table that window hashes are joined to. Both give the same rows.
 MOST_CONSTANTS = 200_000
 
 
@@ -95,18 +97,31 @@ def with_hits(docs: DataFrame, text: str, bench: Benchmark, hits: str, count: st
 
 
 def _joined_hits(docs: DataFrame, key: str, text: str, bench: Benchmark) -> DataFrame:
-    """(key, hit) as in with_hits, for benchmarks of any size: window hashes meet the benchmark's in a join."""
-    df = docs.select(key, F.transform(words(F.col(text)), _lowered).alias("w"))
-    df = df.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    """(key, hit) as in with_hits, for benchmarks of any size: window hashes meet the benchmark's in a join, with the
+    place and nothing of the text. Only documents with a hash in common are read again, to compare the words."""
+    df = docs.select(key, F.transform(words(F.col(text)), lambda x: F.xxhash64(_lowered(x))).alias("h1"))
     df, have = _window_hashes(df, "h1", bench.sizes)
-    out = None
+    met = None
     for s in bench.sizes:
         mine = bench.table.where(F.col("size") == s).select(_gram_hash(F.col("window"), s).alias("g")).distinct()
-        cut = df.where(F.size("w") >= s).select(key, F.explode(F.expr(f"transform({have[s]}, (g, i) -> struct(i + 1 as at, g, array_join(slice(w, i + 1, {s}), ' ') as window, i <= size(w) - {s} as whole))")).alias("x"))
-        cut = cut.where("x.whole").select(key, "x.*").join(mine, "g", "left_semi").select(key, F.struct("at", F.lit(s).alias("size"), "window").alias("hit"))
-        cut = cut.join(bench.table.select("window").distinct(), cut.hit.window == F.col("window"), "left_semi")
-        out = cut if out is None else out.union(cut)
-    return out
+        cut = df.where(F.size("h1") >= s).select(key, F.posexplode(F.slice(have[s], F.lit(1), F.size("h1") - (s - 1))).alias("i", "g"))
+        cut = cut.join(mine, "g", "left_semi").select(key, F.struct((F.col("i") + 1).alias("at"), F.lit(s).alias("size")).alias("x"))
+        met = cut if met is None else met.union(cut)
+    per = met.groupBy(F.col(key).alias("of")).agg(F.collect_list("x").alias("found"))
+    # the words are an argument: within a lambda's body they would be made anew for each hit
+    hit = lambda w: F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), F.array_join(F.transform(F.slice(w, x["at"], x["size"]), _lowered), " ").alias("window")))
+    again = docs.select(key, text).join(per, F.col(key) == F.col("of")).select(key, F.explode(F.transform(F.array(words(F.col(text))), hit)[0]).alias("hit"))
+    return again.join(bench.table.select("window").distinct(), F.col("hit.window") == F.col("window"), "left_semi")
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """(rid, hit) -> (rid, spans, n_hit): the words that hits cover, touching ones merged, in one walk in order of place."""
+    by = W.partitionBy("rid").orderBy("a", "b")  # one document
+    at = hits.select("rid", (F.col("hit.at") - 1).alias("a"), (F.col("hit.at") - 1 + F.col("hit.size")).alias("b")).distinct()
+    at = at.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)))
+    at = at.withColumn("span", F.sum(F.col("new").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    merged = at.groupBy("rid", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("n_hit"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, most: int = MOST_CONSTANTS) -> DataFrame:
@@ -125,22 +140,16 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, most: int = MO
         placed = written(docs.select(F.monotonically_increasing_id().alias("rid"), "*"), "docs")
         base = placed.select("rid", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
         hits = _joined_hits(placed, "rid", "text", known)
-    items = hits.join(known.table.select("window", "item_id"), F.col("hit.window") == F.col("window"))
-    per = items.groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct("hit.at", "hit.size"))).alias("at"))
-    merged = F.expr(
-        """aggregate(at, cast(array() as array<struct<a:int,b:int>>), (acc, x) ->
-             CASE WHEN size(acc) > 0 AND element_at(acc, -1).b >= x.at - 1
-                  THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a AS a, greatest(element_at(acc, -1).b, x.at - 1 + x.size) AS b)))
-                  ELSE concat(acc, array(struct(x.at - 1 AS a, x.at - 1 + x.size AS b))) END)"""
-    )
-    per = per.select(F.col("rid").alias("hit_rid"), "items", merged.alias("spans"))
+    # a window's items come as one list, so a window of many items doesn't multiply the documents that hold it
+    listed = known.table.groupBy("window").agg(F.collect_set("item_id").alias("items"))
+    per = hits.select("rid", F.col("hit.window").alias("window")).distinct().join(listed, "window").groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     none = F.expr("cast(array() as array<string>)")
-    out = base.join(per, base.rid == per.hit_rid, "left")
-    covered = F.coalesce(F.expr("aggregate(spans, 0L, (acc, x) -> acc + x.b - x.a)"), F.lit(0).cast("long"))
+    out = base.join(per, "rid", "left").join(_spans(hits).withColumnRenamed("n_hit", "covered"), "rid", "left")
+    covered = F.coalesce("covered", F.lit(0))
     return out.select(
         "doc_id",
         "n_words",
-        covered.alias("n_hit"),
+        covered.cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         (covered > 0).alias("contaminated"),
