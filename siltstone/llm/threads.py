@@ -10,7 +10,7 @@ from .common import table, written
 from .decontaminate import LOWER, UPPER
 
 #: Marks before a quoted line, the lines that announce a quote, and white space that is one space in a passage.
-MARKS, SAYS, SPACE = r"^((?:[ \t]*>)+)", r"^On .{1,300} wrote:[ \t\r]*$", r"[ \t\r]+"
+MARKS, SAYS, SPACE = r"^((?:[ \t]*>)+)", r"^[ \t]*On .+ wrote:[ \t\r]*$", r"[ \t\r]+"
 
 
 def _level(line: Column) -> Column:
@@ -22,13 +22,18 @@ def _normal(line: Column) -> Column:
     return F.translate(F.btrim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), SPACE, " "), F.lit(" ")), UPPER, LOWER)
 
 
+def _says(line: Column) -> Column:
+    """Whether the line announces a quote, at any level."""
+    return F.regexp_replace(line, MARKS, "").rlike(SAYS)
+
+
 def passages(base: DataFrame) -> DataFrame:
     """(rid, conv_id, turn, text) -> distinct (rid, conv_id, turn, level, h).
 
     Neighbouring lines of one level are joined, so wrapped quotes meet their originals, and cut after . ! ? into
     sentences: each is a passage. h is its MD5. Blank lines and lines that announce a quote aren't part of any."""
     line = base.select("rid", "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = line.select("rid", "conv_id", "turn", "pos", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("body"), F.col("line").rlike(SAYS).alias("says")).where("body <> '' and not says")
+    line = line.select("rid", "conv_id", "turn", "pos", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("body"), _says(F.col("line")).alias("says")).where("body <> '' and not says")
     by = W.partitionBy("rid").orderBy("pos")  # one message
     run = line.withColumn("new", (F.col("level") != F.coalesce(F.lag("level").over(by), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(by))
     run = run.groupBy("rid", "conv_id", "turn", "run", "level").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("x"))
@@ -50,50 +55,48 @@ def parents(passage: DataFrame) -> DataFrame:
     return best.select("rid", F.col("b.parent").alias("parent"), "n_linked")
 
 
-def paths(base: DataFrame, parent: DataFrame) -> DataFrame:
-    """(rid, path, depth) of messages with a parent: the turns from the thread's root, padded, so that the path's order is the reply order.
+def roots(base: DataFrame, parent: DataFrame) -> DataFrame:
+    """(rid, root, depth): the turn of the message that begins the thread, and the number of replies down to here.
 
     Pointers are doubled: each round joins a message to its furthest known ancestor, so the rounds are the logarithm of
-    the depth. Each round is a written table."""
-    me = F.lpad(F.col("turn").cast("string"), 10, "0")
-    # the message at which a known stretch begins, and the stretch itself
-    now = written(base.join(parent, "rid", "left").select("rid", F.col("parent").alias("up"), me.alias("path"), F.lit(0).alias("depth")), "paths")
-    while now.where("up is not null").limit(1).count():
-        above = now.select(F.col("rid").alias("a_rid"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("depth").alias("a_depth"))
+    the depth, and a row's size doesn't follow it. Each round is a written table."""
+    now = written(base.join(parent, "rid", "left").select("rid", F.col("parent").alias("up"), F.col("turn").alias("root"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth")), "roots")
+    while not now.where("up is not null").isEmpty():
+        above = now.select(F.col("rid").alias("a_rid"), F.col("up").alias("a_up"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"))
         joined = now.join(above, now.up == above.a_rid, "left")
-        now = written(joined.select("rid", F.col("a_up").alias("up"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat_ws("/", "a_path", "path")).alias("path"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("a_depth") + F.col("depth") + 1).alias("depth")), "paths")
-    return now.select("rid", "path", "depth")
+        now = written(joined.select("rid", F.col("a_up").alias("up"), F.coalesce("a_root", "root").alias("root"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")), "roots")
+    return now.select("rid", "root", "depth")
 
 
 def unquoted(text: Column) -> Column:
     """The lines outside quotes, without those that announce one."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (_level(x) == 0) & ~x.rlike(SAYS)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (_level(x) == 0) & ~_says(x)), "\n")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, role, text) -> a row for each: conv_id, turn, role, text without quotes, reply_to and
-    root (turns), depth, path, n_quoted, n_linked (passages), levels (deepest quote).
+    root (turns), depth, n_quoted, n_linked (passages), levels (deepest quote).
 
-    Ordered by conv_id and path, each conversation is in reply order: a message follows the one it answers. Messages
-    without a linked quote start a thread (reply_to null, depth 0). Null text has no passages and stays null. Rows with
+    Ordered by conv_id, root and turn, each conversation is in reply order: threads one after the other, in each a message
+    follows the one it answers, which has an earlier turn. Messages without a linked quote start a thread (reply_to null,
+    depth 0, root its own turn). Null text has no passages and stays null. Rows with
     null conv_id or turn link to nothing. Repeated rows stay rows; the first of them is the original. Other columns are ignored.
     """
     base = written(messages.select(F.monotonically_increasing_id().alias("rid"), F.col("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"), "messages")
     passage = written(passages(base), "passages")
     parent = written(parents(passage), "parents")
-    path = paths(base, parent)
+    root = roots(base, parent)
     quoted = passage.groupBy("rid").agg(F.count_if(F.col("level") > 0).alias("n_quoted"), F.max("level").alias("levels"))
     turn = base.select(F.col("rid").alias("parent"), F.col("turn").alias("reply_to"))
-    out = base.join(path, "rid").join(quoted, "rid", "left").join(parent.join(turn, "parent"), "rid", "left")
+    out = base.join(root, "rid").join(quoted, "rid", "left").join(parent.join(turn, "parent"), "rid", "left")
     return out.select(
         "conv_id",
         "turn",
         "role",
         unquoted(F.col("text")).alias("text"),
         "reply_to",
-        F.element_at(F.split("path", "/"), 1).cast("long").alias("root"),
-        F.col("depth").cast("long").alias("depth"),
-        "path",
+        "root",
+        "depth",
         F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
         F.coalesce("levels", F.lit(0)).cast("long").alias("levels"),
@@ -105,7 +108,7 @@ ORACLE = r"""
 WITH RECURSIVE line AS (
   SELECT conv_id, turn, pos, ln, length(regexp_replace(regexp_extract(ln, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
          translate(trim(regexp_replace(regexp_replace(ln, '^((?:[ \t]*>)+)', ''), '[ \t\r]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body,
-         regexp_matches(ln, '^On .{1,300} wrote:[ \t\r]*$') AS says
+         regexp_matches(regexp_replace(ln, '^((?:[ \t]*>)+)', ''), '^[ \t]*On .+ wrote:[ \t\r]*$') AS says
   FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS ln, unnest(range(len(string_split(text, chr(10))))) AS pos FROM conversations)),
 solid AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 0 ELSE 1 END AS new FROM line WHERE body <> '' AND NOT says),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM solid),
@@ -116,12 +119,12 @@ per AS (SELECT p.conv_id, p.turn, level, o, count(*) AS n FROM passage p JOIN or
 best AS (SELECT conv_id, turn, o, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, o DESC) AS k FROM per),
 parent AS (SELECT conv_id, turn, o, n_linked FROM best WHERE k = 1),
 tree AS (
-  SELECT conv_id, turn, turn AS root, 0 AS depth, lpad(CAST(turn AS VARCHAR), 10, '0') AS path FROM conversations WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM parent)
+  SELECT conv_id, turn, turn AS root, 0 AS depth FROM conversations WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM parent)
   UNION ALL
-  SELECT p.conv_id, p.turn, t.root, t.depth + 1, t.path || '/' || lpad(CAST(p.turn AS VARCHAR), 10, '0') FROM tree t JOIN parent p ON p.conv_id = t.conv_id AND p.o = t.turn),
+  SELECT p.conv_id, p.turn, t.root, t.depth + 1 FROM tree t JOIN parent p ON p.conv_id = t.conv_id AND p.o = t.turn),
 quoted AS (SELECT conv_id, turn, count(*) FILTER (level > 0) AS n_quoted, max(level) AS levels FROM passage GROUP BY ALL),
 plain AS (SELECT conv_id, turn, string_agg(ln, chr(10) ORDER BY pos) AS body FROM line WHERE level = 0 AND NOT says GROUP BY ALL)
-SELECT c.conv_id, c.turn, c.role, CASE WHEN c.text IS NOT NULL THEN coalesce(body, '') END AS text, o AS reply_to, root, CAST(depth AS BIGINT) AS depth, path,
+SELECT c.conv_id, c.turn, c.role, CASE WHEN c.text IS NOT NULL THEN coalesce(body, '') END AS text, o AS reply_to, root, CAST(depth AS BIGINT) AS depth,
        coalesce(n_quoted, 0) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(levels, 0) AS BIGINT) AS levels
 FROM conversations c JOIN tree USING (conv_id, turn) LEFT JOIN parent USING (conv_id, turn) LEFT JOIN quoted USING (conv_id, turn) LEFT JOIN plain USING (conv_id, turn)
 """
