@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where that is unset (tests, local mode) a new one is made."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, local mode makes a
+    new one, and a cluster gets an error, as its machines wouldn't see it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="siltstone-")
     spark.sparkContext.setCheckpointDir(path) if not spark.sparkContext.getCheckpointDir() else None
     return path
