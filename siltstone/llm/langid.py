@@ -10,12 +10,13 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import forget, slices
+from .tokens import forget, slices, trim
 
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 1 << 16
@@ -25,6 +26,8 @@ MOST_DOCS, MOST_CHARS, MOST_LABELS = 150, 20_000, 200
 SEQUENCE, EPOCHS, SEED = 64, 4, 7
 CHUNK = 128
 _CACHE_WORDS = 250_000
+#: Characters that a worker labels at a time.
+_TOGETHER = 400_000
 _LONG = 100_000
 
 
@@ -279,7 +282,8 @@ def learn(docs: DataFrame, most: int = MOST_DOCS, most_labels: int = MOST_LABELS
         found.setdefault(r.lang, []).append(r.doc_id)
     if not found:
         return None
-    wanted = docs.sparkSession.createDataFrame([(y, d) for y, own in found.items() for d in dict.fromkeys(own)], "lang string, doc_id string")
+    pairs = [(y, d) for y, own in found.items() for d in dict.fromkeys(own)]
+    wanted = docs.sparkSession.createDataFrame(pa.table({"lang": [x[0] for x in pairs], "doc_id": [x[1] for x in pairs]}))
     texts: dict[str, list[tuple[str, str]]] = {}
     for r in usable.join(F.broadcast(wanted), ["lang", "doc_id"]).select("lang", "doc_id", "text").dropDuplicates().collect():
         texts.setdefault(r.lang, []).append((r.doc_id, r.text))
@@ -301,13 +305,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for pdf in batches:
             texts = pdf.pop("text").tolist()
             got: list[tuple[str, float, np.ndarray]] = []
-            for a in slices(texts, 1_000_000):
+            for a in slices(texts, _TOGETHER):
                 got += own.label([texts[i] for i in a]) if own else [("und", 0.0, np.zeros(0, np.int64))] * len(a)
             pdf["lang_pred"], pdf["score"] = [g[0] for g in got], [g[1] for g in got]
             pdf["n_words"] = [len(g[2]) for g in got]
             pdf["n_other"] = [int((g[2] != own.model.labels.index(g[0])).sum()) if len(g[2]) else 0 for g in got]
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             yield pdf
+        del own
+        trim()
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_other long")
@@ -323,8 +329,10 @@ def language(docs: DataFrame, model: Model | None) -> Column:
         own = Labeller(shared.value) if shared.value else None
         for s in batches:
             texts = s.tolist()
-            got = [g for a in slices(texts, 1_000_000) for g in (own.label([texts[i] for i in a]) if own else [("und", 0.0, None)] * len(a))]
+            got = [g for a in slices(texts, _TOGETHER) for g in (own.label([texts[i] for i in a]) if own else [("und", 0.0, None)] * len(a))]
             yield pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+        del own
+        trim()
 
     return f(F.coalesce("text", F.lit("")))
 

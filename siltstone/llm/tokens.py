@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -121,8 +123,14 @@ def encoder(path: str) -> Encoder:
 
 def forget() -> None:
     """Frees the encoder of a worker that now does other work: a worker holds one operator's caches at a time."""
-    if encoder.cache_info().currsize:
-        encoder.cache_clear()
+    encoder.cache_clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system where the C library can: workers live on from operator to operator."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
