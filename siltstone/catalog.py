@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import scalar
+from .functions import filetypes, scalar
 from .operators import compare, content, graph, measures
 from .operators.media import hash_matches, sign_hash
-from .plans import files, history, media  # noqa: F401 (their queries register)
+from .plans import files, history, media, rules  # noqa: F401 (their queries register)
 from .plans.registry import oracle_sql, queries, query  # noqa: F401
 from .sources import repository as repo
 from .sources.repository import with_tables
@@ -46,8 +46,15 @@ def conflict_stats(s, d):
 
 
 @query(with_tables("base ours theirs", f"SELECT path, CASE WHEN o.oid IS NOT DISTINCT FROM b.oid THEN t.oid ELSE o.oid END AS oid, CASE WHEN o.oid IS NOT DISTINCT FROM b.oid THEN t.mode ELSE o.mode END AS mode FROM {J3} WHERE {KIND} = 'clean' AND CASE WHEN o.oid IS NOT DISTINCT FROM b.oid THEN t.oid ELSE o.oid END IS NOT NULL"))
+def merge_paths(s, d):
+    return compare.merged_paths(*_trees(s, d)).select("path", "oid", "mode")
+
+
+@query(with_tables("base ours theirs", "SELECT path, o.oid, CASE WHEN o.oid = b.oid THEN b.mode ELSE o.mode END AS mode FROM ours o LEFT JOIN base b USING (path)"))
 def merge_recursive(s, d):
-    return compare.merge(*_trees(s, d)).select("path", "oid", "mode")
+    """A merge without conflicts, of our tree and an unchanged one; and one with conflicts, which has no tree."""
+    base, ours, theirs = _trees(s, d)
+    return compare.merge(base, ours, base).unionByName(compare.merge(base, ours, theirs)).select("path", "oid", "mode")
 
 
 @query(with_tables("base ours theirs", f"SELECT path, coalesce(o.oid, t.oid) AS oid FROM {J3} WHERE o.oid IS NOT NULL OR (b.oid IS NULL AND t.oid IS NOT NULL)"))
@@ -116,6 +123,16 @@ def merge_base(s, d):
     return graph.merge_bases(repo.commit_parents(s, d), 995, 840).select("node")
 
 
+@query(with_tables("edges", "SELECT child AS node, CAST(rank() OVER (ORDER BY child) - 1 AS BIGINT) AS step FROM (SELECT node AS child FROM walk WHERE node NOT IN (SELECT node FROM onto))", _closure_sql("840", "onto") + ", walk AS (SELECT CAST(995 AS BIGINT) AS node UNION ALL SELECT e.parent FROM walk w JOIN edges e ON e.child = w.node AND e.pos = 0)"))
+def rebase_commits(s, d):
+    return graph.rebase_range(repo.commit_parents(s, d), 840, 995)
+
+
+@query(with_tables("edges", "SELECT node FROM walk WHERE depth = 3", "walk AS (SELECT CAST(1234 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT e.parent, depth + 1 FROM walk w JOIN edges e ON e.child = w.node AND e.pos = 0)"))
+def third_first_parent(s, d):
+    return graph.nth_first_parent(repo.commit_parents(s, d), 1234, 3)
+
+
 @query(with_tables("edges", "SELECT node, depth FROM walk", "walk AS (SELECT CAST(1234 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION ALL SELECT e.parent, depth + 1 FROM walk w JOIN edges e ON e.child = w.node AND e.pos = 0)"))
 def first_parent_walk(s, d):
     return graph.first_parents(repo.commit_parents(s, d), 1234).select("node", F.col("depth").cast("long").alias("depth"))
@@ -223,10 +240,28 @@ def fsck_report(s, d):
     return of(broken_refs(s, d), "ref", "error").unionByName(of(missing_trees(s, d), "tree", "critical"))
 
 
-@query(with_tables("objects", "SELECT count(*) AS deleted, round(sum(size), 2) AS reclaimed FROM objects WHERE order_no % 10 NOT IN (SELECT n_nationkey FROM nation)"))
+STORED = "stored AS (SELECT key, size, 'tree:' || (part % 100) AS tree, split_part(key, '/', 2) AS at FROM objects), bases AS (SELECT x.key AS oid, y.key AS base FROM stored x JOIN stored y ON x.key LIKE 'deltas/%' AND y.at = split_part(x.at, '_', 1) || '_' || (CAST(split_part(x.at, '_', 2) AS INT) - 1))"
+LIVE = f"{STORED}, reach AS (SELECT target AS node FROM refs WHERE name NOT LIKE 'refs/remotes/%' UNION SELECT e.parent FROM reach r JOIN edges e ON e.child = r.node), need AS (SELECT key AS oid FROM stored WHERE tree IN (SELECT tree FROM commits WHERE n IN (SELECT node FROM reach)) UNION SELECT b.base FROM need JOIN bases b ON b.oid = need.oid)"
+
+
+def _dangling(s, d) -> DataFrame:
+    """Objects that no branch or tag reaches, through commits, trees and the bases of deltas. An object lies in its part's tree; a delta is made from the order's line before it."""
+    objects = repo.objects(s, d).select("key", "size", F.concat(F.lit("tree:"), (F.col("part") % 100).cast("string")).alias("tree"), F.substring_index("key", "/", -1).alias("at"))
+    before = F.concat(F.substring_index("at", "_", 1), F.lit("_"), (F.substring_index("at", "_", -1).cast("int") - 1).cast("string"))
+    bases = objects.where(F.col("key").startswith("deltas/")).select(F.col("key").alias("oid"), before.alias("at")).join(objects.select("at", F.col("key").alias("base")), "at").select("oid", "base")
+    tips = repo.refs(s, d).where(~F.col("name").startswith("refs/remotes/")).select(F.col("target").alias("node"))
+    live = graph.reachable_objects(tips, repo.commit_parents(s, d), repo.commits(s, d).select("n", "oid", "tree"), objects.select("tree", F.col("key").alias("oid")), bases)
+    return measures.missing(objects.select("key", "size"), live.withColumnRenamed("oid", "key"), "key")
+
+
+@query(with_tables("objects commits refs edges", "SELECT key FROM stored WHERE key NOT IN (SELECT oid FROM need)", LIVE))
+def dangling_objects(s, d):
+    return _dangling(s, d).select("key")
+
+
+@query(with_tables("objects commits refs edges", "SELECT count(*) AS deleted, round(sum(size), 2) AS reclaimed FROM stored WHERE key NOT IN (SELECT oid FROM need)", LIVE))
 def gc_stats(s, d):
-    live = repo.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    return measures.missing(repo.objects(s, d).withColumn("k", F.col("order_no") % 10), live, "k").agg(F.count("*").alias("deleted"), F.round(F.sum("size"), 2).alias("reclaimed"))
+    return _dangling(s, d).agg(F.count("*").alias("deleted"), F.round(F.sum("size"), 2).alias("reclaimed"))
 
 
 # measures
@@ -261,15 +296,17 @@ def operation_counters(s, d):
     return repo.events(s, d).groupBy("event_type", (F.col("user_id") % 3).alias("backend"), F.get_json_object("props", "$.k").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query(with_tables("base", "SELECT CASE WHEN path LIKE '%.psd' THEN 'layered' WHEN path LIKE '%.mp4' THEN 'video' WHEN path LIKE '%.txt' THEN 'text' ELSE 'other' END AS category, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM base GROUP BY 1"))
+@query(with_tables("base", "SELECT CASE WHEN path LIKE '%.psd' THEN 'creative' WHEN path LIKE '%.mp4' THEN 'video' ELSE 'other' END AS category, CASE WHEN path LIKE '%.psd' OR path LIKE '%.mp4' THEN 'media' WHEN path LIKE '%.txt' THEN 'text' ELSE 'other' END AS class, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM base GROUP BY ALL ORDER BY files DESC, category, class"))
 def category_stats(s, d):
-    return _trees(s, d)[0].groupBy(scalar.file_kind(F.col("path")).alias("category")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    path = F.col("path")
+    n = _trees(s, d)[0].groupBy(filetypes.category(path).alias("category"), filetypes.file_class(path).alias("class")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return n.orderBy(F.desc("files"), "category", "class")
 
 
-@query(with_tables("ours", "SELECT sha256(string_agg(mode || ' ' || path || ' ' || oid, chr(10) ORDER BY path)) AS hash, count(*) AS files, count(*) FILTER (mode = '100755') AS executable FROM ours WHERE path LIKE 'dir3/%'"))
+@query(with_tables("ours", "SELECT sha256(string_agg(dir || ' ' || hash, chr(10) ORDER BY dir)) AS hash, CAST(sum(files) AS BIGINT) AS files, CAST(sum(executable) AS BIGINT) AS executable FROM (SELECT dir, sha256(string_agg(mode || ' ' || path || ' ' || oid, chr(10) ORDER BY path)) AS hash, count(*) AS files, count(*) FILTER (mode = '100755') AS executable FROM (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM ours) GROUP BY dir)"))
 def tree_hash(s, d):
-    t = _trees(s, d)[1].where(F.col("path").startswith("dir3/"))
-    return t.agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("path", "mode", "oid"))), lambda x: F.concat_ws(" ", x["mode"], x["path"], x["oid"]))), 256).alias("hash"), F.count("*").alias("files"), F.count_if(F.col("mode") == "100755").alias("executable"))
+    """Directories are hashed first, then the list of directories."""
+    return measures.tree_hash(_trees(s, d)[1])
 
 
 @query("SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_discount) AS y1, min(l_tax) AS z0, max(l_tax) AS z1, l_partkey AS part FROM lineitem GROUP BY l_partkey")
@@ -337,21 +374,14 @@ def byte_entropy(s, d):
     return content.byte_entropy(repo.table(s, d, "documents"), "doc_id", "text")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT vec_id, array_to_string(list_transform(embedding[1:16], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings) a JOIN (SELECT vec_id, array_to_string(list_transform(embedding[1:16], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings) b ON a.bits = b.bits AND a.vec_id < b.vec_id")
-def perceptual_pairs(s, d):
-    bits = F.concat_ws("", F.transform(F.slice("embedding", 1, 16), lambda x: F.when(x > 0, "1").otherwise("0")))
-    h = repo.table(s, d, "embeddings").select("vec_id", bits.alias("bits"))
-    return h.select(F.col("vec_id").alias("a"), "bits").join(h.select(F.col("vec_id").alias("b"), "bits"), "bits").where("a < b").select("a", "b")
-
-
 @query("WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings), c AS (SELECT bits, CAST(bits AS BIT) AS x, min(vec_id) AS id FROM h GROUP BY bits) SELECT c.id AS a, e.id AS b, 1 - bit_count(xor(c.x, e.x)) / 64.0 AS similarity FROM c JOIN c e ON c.id < e.id WHERE 1 - bit_count(xor(c.x, e.x)) / 64.0 >= 0.85 UNION ALL SELECT c.id, h.vec_id, 1.0 FROM h JOIN c USING (bits) WHERE h.vec_id > c.id")
 def perceptual_matches(s, d):
     return hash_matches(repo.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), sign_hash(F.col("embedding")).alias("hash")))
 
 
-@query(with_tables("base", "SELECT path, 'objects/' || substr(oid, 1, 2) || '/' || substr(oid, 3, 2) || '/' || oid AS stored_at, CASE WHEN size < 1048576 THEN 'small' ELSE 'medium' END AS class FROM base"))
+@query(with_tables("base", "SELECT path, 'objects/' || substr(oid, 1, 2) || '/' || substr(oid, 3, 2) || '/' || oid AS stored_at, CASE WHEN size <= 1024 THEN 'tiny' WHEN size <= 102400 THEN 'small' ELSE 'medium' END AS class FROM base"))
 def shard_paths(s, d):
-    return _trees(s, d)[0].select("path", scalar.shard_path(F.col("oid")).alias("stored_at"), scalar.size_class(F.col("size")).alias("class"))
+    return _trees(s, d)[0].select("path", scalar.shard_path(F.col("oid")).alias("stored_at"), filetypes.size_class(F.col("size")).alias("class"))
 
 
 # streams
@@ -359,14 +389,14 @@ def shard_paths(s, d):
 
 @query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def audit_windows(s, d):
-    return logs.per_window(repo.events(s, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    return logs.drained(logs.per_window(logs.event_stream(s, d)), "start", "event_type")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def stream_totals(s, d):
-    return logs.drained(logs.running(logs.event_stream(s, d)), "stream_totals")
+    return logs.drained(logs.running(logs.event_stream(s, d)), "event_type")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def rate_limit(s, d):
-    return logs.over_limit(repo.events(s, d).withColumn("ts", F.col("ts").cast("timestamp")), 1, "1 hour")
+    return logs.drained(logs.over_limit(logs.event_stream(s, d), 1, "1 hour"), "start", "user_id")

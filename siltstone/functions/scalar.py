@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Leading bytes, in hexadecimal, by which a stored object's codec is told.
-ZSTD_MAGIC, BROTLI_MAGIC = "28B52FFD", "42525401"
-#: Extensions of each kind of file.
-KINDS = {
-    "image": ["jpg", "jpeg", "png", "gif", "webp", "tif", "tiff", "bmp"],
-    "layered": ["psd", "psb"],
-    "video": ["mp4", "mov", "mkv", "webm", "avi"],
-    "audio": ["wav", "flac", "mp3", "aac", "ogg"],
-    "model": ["obj", "fbx", "glb", "gltf", "stl", "ply", "blend", "usd", "usdz"],
-    "text": ["txt", "md", "json", "csv", "xml", "yaml"],
-}
+ZSTD_MAGIC, BROTLI_MAGIC, ZLIB_HEAD = "28B52FFD", "42525401", "78"
 
 
 def shard_path(oid: Column) -> Column:
@@ -23,22 +18,6 @@ def shard_path(oid: Column) -> Column:
     return F.concat_ws("/", F.lit("objects"), F.substring(oid, 1, 2), F.substring(oid, 3, 2), oid)
 
 
-def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-
-
-def file_kind(path: Column) -> Column:
-    ext, out = extension(path), None
-    for kind, names in KINDS.items():
-        out = F.when(ext.isin(names), kind) if out is None else out.when(ext.isin(names), kind)
-    return out.otherwise("other")
-
-
-def size_class(size: Column) -> Column:
-    mb = 1 << 20
-    return F.when(size < mb, "small").when(size < 10 * mb, "medium").when(size < 100 * mb, "large").otherwise("huge")
-
-
 def chunk_sizes(size: Column) -> Column:
     """struct(average, least, most) in bytes of the chunks of a file of that size."""
     mb, gb = 1 << 20, 1 << 30
@@ -47,9 +26,10 @@ def chunk_sizes(size: Column) -> Column:
 
 
 def codec(data: Column) -> Column:
+    """zstd, brotli, zlib or store, by the leading bytes; a zlib head's two bytes are a multiple of 31."""
     head = F.hex(F.substring(data, 1, 4))
     two = F.conv(F.hex(F.substring(data, 1, 2)), 16, 10).cast("int")
-    zlib = (F.length(data) >= 2) & F.hex(F.substring(data, 1, 1)).isin("78", "58", "48") & (two % 31 == 0)
+    zlib = (F.octet_length(data) >= 2) & head.startswith(ZLIB_HEAD) & (two % 31 == 0)
     return F.when(head == ZSTD_MAGIC, "zstd").when(head == BROTLI_MAGIC, "brotli").when(zlib, "zlib").otherwise("store")
 
 
@@ -58,30 +38,47 @@ def hamming_similarity(a: Column, b: Column, bits: int = 64) -> Column:
 
 
 def valid_ref_name(name: Column) -> Column:
-    """No control or reserved characters, no empty, hidden or locked part, no `..` or `@{`."""
-    bad = r"[\x00-\x20\x7f~^:?*\[\\]|\.\.|@\{|//|^/|/$|\.$|\.lock(/|$)|(^|/)\.|^@$"
-    return (F.length(name) > 0) & ~name.rlike(bad)
+    """Not empty; none of the characters that file systems refuse; no dot or slash at an end, no two of either together, no
+    `@{`, and not the name of a lock."""
+    return (F.length(name) > 0) & ~name.rlike(r'[\\:?*"<>|\x00]|\A[./]|[./]\z|\.\.|//|\.lock\z|@\{')
 
 
 def ref_namespace(name: Column) -> Column:
     return F.when(name == "HEAD", "head").when(name.startswith("refs/heads/"), "branch").when(name.startswith("refs/tags/"), "tag").when(name.startswith("refs/remotes/"), "remote").otherwise("other")
 
 
-def glob_regex(glob: str) -> str:
-    """A path glob as a regular expression: * and ? within a part, ** across parts."""
-    import re
+def re_escape(text: str) -> str:
+    return re.escape(text)
+
 
+def glob_regex(glob: str) -> str:
+    """A path glob as a regular expression: * and ? within a part, ** across parts, [ab], [a-z] and [!a] one character."""
     out, i = "", 0
     while i < len(glob):
         if glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
+        elif glob[i] == "[":
+            end = glob.find("]", i + 2)
+            if end < 0:
+                raise ValueError(f"unclosed [ in {glob}")
+            inner = glob[i + 1 : end]
+            no, inner = ("^", inner[1:]) if inner[0] in "!^" else ("", inner)
+            out, i = out + f"[{no}" + re.sub(r"([\\\[\]^&])", r"\\\1", inner) + "]", end + 1
         else:
             out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i])), i + 1
     return f"^{out}$"
 
 
+def matches_glob(name: Column, glob: str) -> Column:
+    """Whether a name matches; a pattern that isn't one keeps all."""
+    try:
+        return name.rlike(glob_regex(glob))
+    except ValueError:
+        return F.lit(True)
+
+
 def ignored(path: Column, rules: list[str]) -> Column:
     """Whether ignore rules hold for a path: the last matching rule decides, `!` takes a path back unless a directory above
     it is ignored, a slash before the end ties a rule to the root, a trailing slash means directories only."""
@@ -106,10 +103,14 @@ def pointer(version: str, oid: Column, size: Column) -> Column:
 
 
 def parse_pointer(text: Column, most: int = 512) -> Column:
-    """struct(oid, size) of a pointer file, null for other content. A pointer is short, so longer content isn't looked at."""
-    shape = r"^version (\S+)\noid sha256:([0-9a-f]{64})\nsize (\d+)\n?$"
-    hit = (F.octet_length(text) <= most) & text.rlike(shape)
-    return F.when(hit, F.struct(F.regexp_extract(text, shape, 2).alias("oid"), F.regexp_extract(text, shape, 3).try_cast("long").alias("size")))
+    """struct(oid, size) of a pointer file, null for other content. Lines come in any order, blank ones count as none; of a
+    repeated one the last holds. A pointer is short, so longer content isn't looked at."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+    good = F.forall(lines, lambda x: x.rlike(r"\A(version .+|oid sha256:[0-9a-fA-F]{64}|size \+?[0-9]+)\z"))
+    value = lambda key: F.regexp_replace(F.element_at(F.filter(lines, lambda x: x.startswith(key)), -1), f"^{key}", "")
+    has = F.forall(F.array(*map(F.lit, ("version ", "oid ", "size "))), lambda k: F.exists(lines, lambda x: F.startswith(x, k)))
+    made = F.struct(value("oid sha256:").alias("oid"), value("size ").try_cast("long").alias("size"))
+    return F.when((F.octet_length(text) <= most) & good & has, made)
 
 
 def reflog_line(old: Column, new: Column, name: Column, email: Column, seconds: Column, message: Column) -> Column:
@@ -125,19 +126,18 @@ def parse_reflog(line: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes with a unit of 1,024s and two decimals; plain bytes under 1,024."""
-    out = F.format_string("%d B", n.cast("long"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    """KB, MB or GB of 1,024s with two decimals; plain `n bytes` below."""
+    out = F.format_string("%d bytes", n.cast("long"))
+    for k, unit in enumerate(("KB", "MB", "GB"), 1):
         out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", F.bround(n / float(1024**k), 2))).otherwise(out)
     return out
 
 
 def time_ago(seconds: Column) -> Column:
-    """`n units ago` of an age in seconds, by its largest unit."""
-    out = F.lit("just now")
-    for size, unit in ((1, "second"), (60, "minute"), (3600, "hour"), (86400, "day"), (604800, "week"), (2629800, "month"), (31557600, "year")):
-        n = F.floor(seconds / size)
-        out = F.when(seconds >= size, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise(""), F.lit(" ago"))).otherwise(out)
+    """`n units ago` of an age in seconds, in seconds, minutes, hours or days; units stay plural."""
+    out = F.concat(seconds.cast("long").cast("string"), F.lit(" seconds ago"))
+    for size, unit in ((60, "minutes"), (3600, "hours"), (86400, "days")):
+        out = F.when(seconds >= size, F.concat(F.floor(seconds / size).cast("string"), F.lit(f" {unit} ago"))).otherwise(out)
     return out
 
 
@@ -146,8 +146,9 @@ MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "psd":
 FORMS = {"webp": "57454250", "wav": "57415645", "avi": "41564920"}
 
 
-def magic_type(data: Column) -> Column:
-    """The type by leading bytes; RIFF by its form, ISO media by `ftyp`; else text if it is UTF-8 without zero bytes, or binary."""
+def magic_type(data: Column, looked_at: int = 512) -> Column:
+    """The type by leading bytes; RIFF by its form, ISO media by `ftyp`; else text if what is looked at is UTF-8 without
+    zero bytes, or binary. A character cut at the end of what is looked at counts as whole."""
     head = F.hex(F.substring(data, 1, 12))
     out = None
     for kind, hexa in MAGIC.items():
@@ -155,20 +156,12 @@ def magic_type(data: Column) -> Column:
     for kind, hexa in FORMS.items():
         out = out.when(head.startswith("52494646") & (F.substring(head, 17, 8) == hexa), kind)
     out = out.when(F.substring(head, 9, 8) == "66747970", "mp4")
-    plain = F.is_valid_utf8(F.substring(data, 1, 512)) & (F.instr(F.hex(F.substring(data, 1, 512)), "00") == 0)
-    return out.when(plain, "text").otherwise("binary")
-
-
-#: Kinds whose files are compressed already: neither packed again nor stored as deltas.
-PACKED = ("image", "audio")
-
-
-def chunked(size: Column, kind: Column, least: int = 1 << 20) -> Column:
-    return (size >= least) & ~kind.isin(*PACKED)
-
-
-def delta_wanted(size: Column, kind: Column, least: int = 4096) -> Column:
-    return (size >= least) & ~kind.isin(*PACKED, "video")
+    first = F.substring(data, 1, looked_at)
+    begun = {1: "(C[2-9A-F]|D.|E.|F[0-4])", 2: "(E.|F[0-4])[89AB].", 3: "F[0-4]([89AB].){2}"}  # bytes of a character that isn't whole
+    cut = lambda k: F.hex(F.substring(data, looked_at - k + 1, k)).rlike(f"^{begun[k]}$") & F.is_valid_utf8(F.substring(data, 1, looked_at - k))
+    valid = reduce(or_, [F.is_valid_utf8(first), *((F.octet_length(data) > looked_at) & cut(k) for k in begun)])
+    zero = F.instr(F.decode(first, "ISO-8859-1"), "\0") > 0
+    return out.when(valid & ~zero, "text").otherwise("binary")
 
 
 def valid_ref(target: Column, symbolic: Column) -> Column:

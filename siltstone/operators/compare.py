@@ -38,8 +38,16 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, strategy: str = "recursive") -> DataFrame:
-    """path, oid, mode, side of the merged tree. recursive leaves out conflicting paths (three_way lists them); ours
-    and theirs settle them: each honours its own deletions and takes the other side's additions."""
+    """path, oid, mode, side of the merged tree. recursive gives no tree where any path is in conflict (three_way lists
+    them, merged_paths has the others); ours and theirs settle conflicts: each honours its own deletions and takes the
+    other side's additions."""
+    if strategy == "recursive" and not three_way(base, ours, theirs).where("kind <> 'clean'").isEmpty():
+        return merged_paths(base, ours, theirs).where(F.lit(False))
+    return merged_paths(base, ours, theirs, strategy)
+
+
+def merged_paths(base: DataFrame, ours: DataFrame, theirs: DataFrame, strategy: str = "recursive") -> DataFrame:
+    """As merge(), but recursive has all paths that aren't in conflict: what a merge in progress can write already."""
     j = three_way(base, ours, theirs)
     b, o, t = (F.col(f"{s}_oid") for s in ("base", "ours", "theirs"))
     if strategy == "recursive":

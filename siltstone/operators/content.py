@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import graph
+
 _GEAR = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -85,30 +87,41 @@ def sample_hashes(data: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else h for x, h in zip(data, out, strict=True)], dtype=object)
 
 
-def similarity(target: Column, candidate: Column, target_size: Column, candidate_size: Column) -> Column:
-    """0.7 of the matching samples' part, multiplicity kept, and 0.3 of the size ratio."""
+def similarity(target: Column, candidate: Column, ratio: Column) -> Column:
+    """0.7 of the part of samples that the candidate has too, multiplicity kept, and 0.3 of the ratio of sizes."""
     matches = F.size(F.filter(target, lambda x: F.array_contains(candidate, x)))
-    ratio = F.least(target_size, candidate_size) / F.greatest(target_size, candidate_size, F.lit(1))
     return 0.7 * matches / F.greatest(F.lit(1), F.least(F.size(target), F.size(candidate))) + 0.3 * ratio
 
 
-def best_bases(items: DataFrame, threshold: float = 0.3, size_ratio: float = 0.5, recent: int = 50) -> DataFrame:
-    """items (id, type, size, samples) -> id, base, score: the most similar earlier item of the type, strictly over the
-    threshold; ties go to the smallest id. Equal items (type, size, samples) are one class: a copy's base is the class's
-    first item, with score 1. Other candidates are the `recent` classes before an item's own, by first id, in each bucket
-    of a shared sample: so many a bucket, whatever its size."""
-    key = F.xxhash64("type", "size", F.to_json("samples"))
-    member = items.withColumn("class", key)
-    classes = member.groupBy("class").agg(F.min("id").alias("first"), F.min_by(F.struct("type", "size", "samples"), "id").alias("item")).select("class", "first", "item.*")
-    hashed = classes.select("first", "type", F.explode(F.array_distinct("samples")).alias("h"))
-    before = W.partitionBy("type", "h").orderBy("first").rowsBetween(-recent, -1)
-    pairs = hashed.withColumn("earlier", F.collect_list("first").over(before)).select("first", F.explode("earlier").alias("base")).distinct()
-    mine = classes.select("first", "size", "samples")
-    theirs = mine.toDF("base", "s2", "x2")
-    scored = pairs.join(mine, "first").join(theirs, "base").where(F.least("size", "s2") >= size_ratio * F.greatest("size", "s2")).withColumn("score", similarity(F.col("samples"), F.col("x2"), F.col("size"), F.col("s2")))
-    best = scored.where(F.col("score") > threshold).groupBy("first").agg(F.max(F.struct("score", (-F.col("base")).alias("b"))).alias("m")).select(F.col("first").alias("id"), (-F.col("m.b")).alias("base"), F.round("m.score", 6).alias("score"))
-    copies = member.select("id", "class").join(classes.select("class", "first"), "class").where(F.col("id") > F.col("first")).select("id", F.col("first").alias("base"), F.lit(1.0).alias("score"))
-    return best.unionByName(copies)
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with a column that numbers its rows from 0 in the order of a column, by ranges and prefix sums of their sizes: no
+    task sees all rows. df is written to the shared folder on the way."""
+    at = F.monotonically_increasing_id()
+    dealt = graph.written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("range", F.shiftright(at, 33)).withColumn(name, at.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    before = F.coalesce(F.sum("rows").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("rows")).select("range", before.alias("before"))  # a row for each range
+    return dealt.join(F.broadcast(sizes), "range").withColumn(name, F.col("before") + F.col(name)).drop("range", "before")
+
+
+def best_bases(items: DataFrame, order: str = "id", recent: int = 50, threshold: float = 0.3, size_ratio: float = 0.8) -> DataFrame:
+    """items (id, type, size, samples; optional: is_delta, threshold and size_ratio of their own) -> id, base, score: of
+    the `recent` objects before an item, whatever their type, the most similar one of its type that isn't a delta, is of a
+    size ratio of at least size_ratio and scores strictly over the threshold; ties go to the newest.
+
+    The window is the definition's, so each item meets `recent` others at most: items meet those of their own block of
+    `recent` numbers and of the one before it, and no group's size matters. Items without samples match nothing."""
+    own = {"is_delta": F.lit(False), "threshold": F.lit(threshold), "size_ratio": F.lit(size_ratio)}
+    items = items.select(*dict.fromkeys((order, "id", "type", "size", "samples")), *(F.col(c) if c in items.columns else v.alias(c) for c, v in own.items()))
+    at = graph.written(numbered(items, order, "n"), "items").where(F.size("samples") > 0)
+    block = F.floor(F.col("n") / recent)
+    mine = at.select("id", "type", "n", "size", "samples", "threshold", "size_ratio", F.explode(F.array(block, block - 1)).alias("block"))
+    theirs = at.where(~F.col("is_delta")).select(F.col("id").alias("base"), F.col("type").alias("t2"), F.col("n").alias("n2"), F.col("size").alias("s2"), F.col("samples").alias("x2"), block.alias("block"))
+    ratio = F.least("size", "s2") / F.greatest("size", "s2", F.lit(1))
+    near = (F.col("n2") < F.col("n")) & (F.col("n2") >= F.col("n") - recent) & F.col("type").eqNullSafe(F.col("t2")) & (ratio >= F.col("size_ratio"))
+    met = mine.alias("x").join(theirs.alias("y"), (F.col("x.block") == F.col("y.block")) & near)
+    scored = met.withColumn("score", similarity(F.col("samples"), F.col("x2"), ratio)).where(F.col("score") > F.col("threshold"))
+    best = scored.groupBy("id", "n").agg(F.max(F.struct("score", "n2", "base")).alias("m"))
+    return best.select("id", F.col("m.base").alias("base"), F.round("m.score", 6).alias("score"))
 
 
 @F.pandas_udf(T.BinaryType())

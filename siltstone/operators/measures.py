@@ -75,6 +75,16 @@ def version_order(tag: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(tag, "^v", ""), r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
 
 
+def tree_hash(tree: DataFrame) -> DataFrame:
+    """hash, files, executable of a tree (path, mode, oid): each directory's sorted entries are hashed in a row of its own,
+    then the sorted directories, so no row holds all files."""
+    at = tree.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("path", "mode", "oid"))), lambda x: F.concat_ws(" ", x["mode"], x["path"], x["oid"]))
+    dirs = at.groupBy("dir").agg(F.sha2(F.concat_ws("\n", entries), 256).alias("hash"), F.count("*").alias("files"), F.count_if(F.col("mode") == "100755").alias("executable"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("dir", "hash"))), lambda x: F.concat_ws(" ", x["dir"], x["hash"]))
+    return dirs.agg(F.sha2(F.concat_ws("\n", listed), 256).alias("hash"), F.sum("files").alias("files"), F.sum("executable").alias("executable"))
+
+
 def first_copies(new: DataFrame, stored: DataFrame, key: str = "oid") -> DataFrame:
     """What a write adds: rows whose key isn't stored, one a key."""
     return missing(new.dropDuplicates([key]), stored, key)

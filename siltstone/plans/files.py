@@ -23,13 +23,6 @@ def stat_cache_misses(s, d):
     return repo.tree(s, d, "theirs").join(repo.tree(s, d, "base"), ["path", "size", "mode"], "left_anti").select("path")
 
 
-@query("SELECT p_partkey AS id, p_size * 100000 >= 1048576 AND p_partkey % 3 <> 0 AS chunked, p_size * 100000 >= 4096 AND p_partkey % 3 = 2 AS delta FROM part")
-def storage_eligibility(s, d):
-    path = F.expr("concat(p_name, CASE p_partkey % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.mkv' ELSE '.obj' END)")
-    t = repo.table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 100000).alias("size"), scalar.file_kind(path).alias("kind"))
-    return t.select("id", scalar.chunked(F.col("size"), F.col("kind")).alias("chunked"), scalar.delta_wanted(F.col("size"), F.col("kind")).alias("delta"))
-
-
 @query(with_tables("base", "SELECT path, oid, CASE WHEN size % 7 <> 0 THEN size END AS size FROM base"))
 def pointer_files(s, d):
     """Files written as pointers and read back; text that isn't a pointer gives null, but the path's id is known."""
@@ -48,24 +41,28 @@ def reflog_lines(s, d):
     return c.join(first, "n").join(old, "parent").select(scalar.parse_reflog(line).alias("x")).select("x.*")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS human FROM (SELECT p_partkey, CAST(p_size AS BIGINT) * p_size * p_size * (p_partkey % 10) * (p_partkey % 10) * (p_partkey % 10) * 32 AS n FROM part)")
+@query("SELECT p_partkey AS id, CASE WHEN n < 1024 THEN n || ' bytes' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS human FROM (SELECT p_partkey, CAST(p_size AS BIGINT) * p_size * p_size * (p_partkey % 10) * (p_partkey % 10) * (p_partkey % 10) * 32 AS n FROM part)")
 def human_sizes(s, d):
     n = F.expr("cast(p_size as bigint) * p_size * p_size * (p_partkey % 10) * (p_partkey % 10) * (p_partkey % 10) * 32")
     return repo.table(s, d, "part").select(F.col("p_partkey").alias("id"), scalar.human_bytes(n).alias("human"))
 
 
-@query("""SELECT event_id, CASE WHEN a < 60 THEN a || ' second' || CASE WHEN a > 1 THEN 's' ELSE '' END WHEN a < 3600 THEN (a // 60) || ' minute' || CASE WHEN a // 60 > 1 THEN 's' ELSE '' END
-  WHEN a < 86400 THEN (a // 3600) || ' hour' || CASE WHEN a // 3600 > 1 THEN 's' ELSE '' END ELSE (a // 86400) || ' day' || CASE WHEN a // 86400 > 1 THEN 's' ELSE '' END END || ' ago' AS age
-  FROM (SELECT event_id, 1 + (event_id * 97) % 600000 AS a FROM events)""")
+@query("SELECT event_id, CASE WHEN a < 60 THEN a || ' seconds' WHEN a < 3600 THEN (a // 60) || ' minutes' WHEN a < 86400 THEN (a // 3600) || ' hours' ELSE (a // 86400) || ' days' END || ' ago' AS age FROM (SELECT event_id, (event_id * 97) % 600000 AS a FROM events)")
 def ages(s, d):
-    return repo.events(s, d).select("event_id", scalar.time_ago(1 + (F.col("event_id") * 97) % 600000).alias("age"))
+    return repo.events(s, d).select("event_id", scalar.time_ago((F.col("event_id") * 97) % 600000).alias("age"))
+
+
+#: Names beside the refs', some of which are refused.
+ASKED = ["HEAD", "a..b", "x.lock", "a@{1}", "feature/one", "/a", "a b", "a~1", "x/.y", "a|b", "a<b", 'a"b', "a*", ".a", "a.", "a//b", "a/"]
+VALUES = ", ".join(f"('{x}')" for x in ASKED)
 
 
-@query(with_tables("refs", "SELECT name, CASE WHEN name LIKE '%U%' THEN name ELSE 'refs/heads/' || replace(name, '/', '-') END AS full_name, NOT (name LIKE '% %') AS valid FROM refs UNION ALL SELECT x, f, v FROM (VALUES ('HEAD', 'HEAD', true), ('a..b', 'refs/heads/a..b', false), ('x.lock', 'refs/heads/x.lock', false), ('a@{1}', 'refs/heads/a@{1}', false), ('feature/one', 'refs/heads/feature/one', true), ('/a', 'refs/heads//a', false)) w(x, f, v)"))
+@query(with_tables("refs", f"""SELECT name, CASE WHEN name = 'HEAD' OR name LIKE 'refs/%' THEN name ELSE 'refs/heads/' || name END AS full_name,
+  len(list_filter(['\\', ':', '?', '*', '"', '<', '>', '|', '..', '//', '@{{'], lambda x: contains(name, x))) = 0 AND name[1] NOT IN ('.', '/') AND name[-1] NOT IN ('.', '/') AND NOT ends_with(name, '.lock') AS valid
+  FROM (SELECT name FROM refs UNION ALL SELECT * FROM (VALUES {VALUES}))"""))
 def ref_names(s, d):
-    r = repo.refs(s, d).select("name", F.when(F.col("name").contains("U"), F.col("name")).otherwise(F.regexp_replace("name", "/", "-")).alias("asked"))
-    more = s.createDataFrame([(x, x) for x in ("HEAD", "a..b", "x.lock", "a@{1}", "feature/one", "/a")], "name string, asked string")
-    return r.unionByName(more).select("name", scalar.full_ref(F.col("asked")).alias("full_name"), scalar.valid_ref_name(F.col("name")).alias("valid"))
+    more = s.range(1).select(F.explode(F.array(*map(F.lit, ASKED))).alias("name"))
+    return repo.refs(s, d).select("name").unionByName(more).select("name", scalar.full_ref(F.col("name")).alias("full_name"), scalar.valid_ref_name(F.col("name")).alias("valid"))
 
 
 @query(with_tables("base", "SELECT path || tail AS path, safe FROM base, (VALUES ('', true), ('/../x', false), ('/..x', true)) v(tail, safe)"))

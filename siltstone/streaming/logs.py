@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream."""
@@ -28,8 +30,17 @@ def running(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """What the stream gives when all its input is read; for tests and backfills of bounded input."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, *keys: str) -> DataFrame:
+    """What the stream gives when all its input is read, the last row of each key; for tests and backfills of bounded input.
+
+    Each batch's changed rows go to the shared folder under the batch's number, so a batch that is done again replaces
+    its own; nothing passes the driver."""
+    path = graph.scratch(stream.sparkSession, "stream")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{path}/rows")
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*keys, "batch"]).select(*stream.columns)

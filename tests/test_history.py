@@ -15,11 +15,11 @@ def test_chain_that_turns_back(spark):
 
 
 def test_best_bases(spark):
-    """A group of copies is linked to its first item, each; ties go to the smallest id."""
+    """An item's base is among the 50 before it; ties go to the newest."""
     rows = [(k, "a", 100, [1, 2, 3]) for k in range(1, 200)] + [(200, "a", 100, [1, 2, 9]), (201, "b", 100, [1, 2, 3]), (202, "a", 10, [1, 2, 3])]
     got = {r.id: (r.base, r.score) for r in content.best_bases(spark.createDataFrame(rows, "id long, type string, size long, samples array<long>")).collect()}
-    assert all(got[k] == (1, 1.0) for k in range(2, 200))
-    assert got[200][0] == 1 and got[200][1] == pytest.approx(0.7 * 2 / 3 + 0.3, abs=1e-6)
+    assert all(got[k] == (k - 1, 1.0) for k in range(2, 200))
+    assert got[200][0] == 199 and got[200][1] == pytest.approx(0.7 * 2 / 3 + 0.3, abs=1e-6)
     assert set(got) == set(range(2, 201))
 
 
