@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import filetypes, scalar
 from .operators import compare, content, graph, measures
 from .operators.media import hash_matches, sign_hash
-from .plans import decisions, deltas, files, history, media, rules, states  # noqa: F401 (their queries register)
+from .plans import decisions, deltas, files, history, media, models, rules, states  # noqa: F401 (their queries register)
 from .plans.registry import oracle_sql, queries, query  # noqa: F401
 from .sources import repository as repo
 from .sources.repository import with_tables

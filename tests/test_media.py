@@ -1,7 +1,9 @@
 import random
 import struct
 
-from siltstone.operators import media
+from pyspark.sql import functions as F
+
+from siltstone.operators import media, models
 
 
 def box(kind: bytes, body: bytes) -> bytes:
@@ -72,3 +74,14 @@ def test_hash_matches(spark):
     want |= {(a, b, 1 - (x ^ y).bit_count() / 64) for k, (a, x) in enumerate(ids) for b, y in ids[k + 1 :] if 1 - (x ^ y).bit_count() / 64 >= 0.85}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert sum(s == 1 - 9 / 64 for *_, s in want) > 30
+
+
+def test_models_of_bytes(spark):
+    stl = bytes(80) + (70_000).to_bytes(4, "little")
+    made = [("a.stl", stl), ("a.STL", b"short"), ("a.fbx", b"Kaydara FBX Binary  \0\x1a\0"), ("a.fbx", b"other bytes that are long enough"), ("a.obj", b"v 1 2 3\n\xff"), ("a.obj", b""), ("a.glb", b"glTF\2\0"), ("a.ply", b"ply\n"), ("a.xyz", b"v 1 2 3"), ("a.obj", None)]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "i int, path string, data binary")
+    got = {r["i"]: r["m"] for r in df.select("i", models.model_info(F.col("path"), F.col("data")).alias("m")).collect()}
+    assert (got[0]["vertices"], got[0]["faces"]) == (210_000, 70_000)
+    assert got[2]["rigged"] and got[6]["animated"]
+    assert got[5]["vertices"] == 0 and got[5]["box"] is None
+    assert [got[i] for i in (1, 3, 4, 7, 8, 9)] == [None] * 6
