@@ -400,3 +400,18 @@ def stream_totals(s, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def rate_limit(s, d):
     return logs.drained(logs.over_limit(logs.event_stream(s, d), 1, "1 hour"), "start", "user_id")
+
+
+@query("SELECT user_id AS ref, count(*) AS entries, max_by(event_id, (ts, event_id)) AS id FROM events GROUP BY user_id")
+def reflog_stream(s, d):
+    """The newest entry of each ref of a growing log."""
+    log = logs.event_stream(s, d).select(F.col("user_id").alias("ref"), F.col("event_id").alias("id"), "ts")
+    return logs.drained(logs.newest(log, "ts", "id"), "ref")
+
+
+@query("SELECT w.event_id AS request, w.user_id AS want FROM events w JOIN events t ON t.event_id - 3 = w.event_id AND w.event_type IN ('view', 'click') AND t.event_type IN ('signup', 'error') AND t.ts >= w.ts AND t.ts <= w.ts + INTERVAL 10 MINUTE")
+def wants_answered(s, d):
+    """Requests of a stream that another one answers within ten minutes."""
+    wants = logs.event_stream(s, d).where("event_type IN ('view', 'click')").select(F.col("event_id").alias("request"), "ts", F.col("user_id").alias("want"))
+    takes = logs.event_stream(s, d).where("event_type IN ('signup', 'error')").select((F.col("event_id") - 3).alias("request"), "ts")
+    return logs.drained(logs.answered(wants, takes), "request", "want", mode="append")

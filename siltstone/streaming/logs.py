@@ -30,7 +30,22 @@ def running(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-def drained(stream: DataFrame, *keys: str) -> DataFrame:
+def newest(entries: DataFrame, *order: str) -> DataFrame:
+    """entries (ref, id, ...) of an append-only log -> ref, entries so far and the newest one's id, for update mode. State is
+    one row a ref, however long its log grows."""
+    return entries.groupBy("ref").agg(F.count("*").alias("entries"), F.max_by("id", F.struct(*order)).alias("id"))
+
+
+def answered(wants: DataFrame, takes: DataFrame, ttl: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
+    """wants (request, ts, want), takes (request, ts) -> request, want of the wants taken within their time to live, which
+    is for append mode. Each request is wanted and taken once. Watermarks let both sides' state go when it is too old."""
+    a = wants.withColumnRenamed("ts", "at").withWatermark("at", late).select("request", "want", "at")
+    b = takes.withWatermark("ts", late).select(F.col("request").alias("taken"), F.col("ts").alias("then"))
+    lives = (F.col("then") >= F.col("at")) & (F.col("then") <= F.col("at") + F.expr(f"INTERVAL {ttl}"))
+    return a.join(b, (F.col("request") == F.col("taken")) & lives).select("request", "want")
+
+
+def drained(stream: DataFrame, *keys: str, mode: str = "update") -> DataFrame:
     """What the stream gives when all its input is read, the last row of each key; for tests and backfills of bounded input.
 
     Each batch's changed rows go to the shared folder under the batch's number, so a batch that is done again replaces
@@ -40,7 +55,7 @@ def drained(stream: DataFrame, *keys: str) -> DataFrame:
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
-    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     rows = stream.sparkSession.read.parquet(f"{path}/rows")
     last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
     return rows.join(last, [*keys, "batch"]).select(*stream.columns)
