@@ -104,7 +104,7 @@ def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
     the count of common shingles isn't within 2 of the bound, else the shingles themselves."""
     x, y = tagged(a), tagged(b)
     both = np.concatenate([x, y])
-    both.sort()
+    both.sort(kind="stable")  # merges two sorted runs
     count = lambda keys: np.bincount((keys >> _HASH).astype(np.int64), minlength=len(a))
     n = count(both[1:][both[1:] == both[:-1]])
     over = n - least * (count(x) + count(y) - n)
@@ -128,13 +128,9 @@ def _banded(lines: DataFrame) -> DataFrame:
         for pdf in batches:
             pdf = pdf.drop_duplicates("h")
             own, n = [normal(x) for x in pdf["line"].tolist()], pdf["h"].to_numpy(np.int64)
-            a = chars = 0
-            for b, x in enumerate(own, 1):
-                chars += len(x)
-                if chars >= 200_000 or b == len(own):
-                    keys = band_keys(signatures(own[a:b]))
-                    yield pd.DataFrame({"band": keys.ravel(), "h": np.repeat(n[a:b], BANDS)})
-                    a, chars = b, 0
+            keys = [band_keys(signatures([own[i] for i in part])) for part in slices(own, 200_000)]
+            if keys:  # an output batch costs more than its rows
+                yield pd.DataFrame({"band": np.concatenate(keys).ravel(), "h": np.repeat(n, BANDS)})
 
     return lines.select("h", "line").mapInPandas(run, "band long, h long")
 
