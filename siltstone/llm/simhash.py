@@ -19,6 +19,8 @@ from .tokens import forget, slices
 GENERATOR = 0b110001110101
 #: The three segments of a fingerprint: lowest bit, bits. The last is padded with zeros.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Rows that a table of kept documents has at most to pass through the driver.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprints(texts: list[str], words: int = 4) -> np.ndarray:
@@ -126,7 +128,8 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     """Distinct fingerprints (fp long) -> (u, v) with u < v, all pairs with at most 4 differing bits.
 
     Candidates are verified within the join, which puts out true links only; two fingerprints with the same base key
-    meet under that key alone."""
+    meet under that key alone. The join is one of sorted shuffles: Spark takes the keys, up to 33 a fingerprint, for as many
+    rows as there are fingerprints, and would send them all through the driver."""
     if most > 4:
         raise ValueError("the keys cover 4 differing bits")
 
@@ -140,7 +143,7 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
 
     made = fps.select("fp").mapInPandas(run, "k int, base int, fp long")
     x, y = made.select("k", F.col("base").alias("bx"), F.col("fp").alias("u")), made.select("k", F.col("base").alias("by"), F.col("fp").alias("v"))
-    met = x.join(y, (x.k == y.k) & (F.col("u") < F.col("v")) & ((F.col("bx") != F.col("by")) | (x.k == F.col("bx"))) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most))
+    met = x.hint("merge").join(y, (x.k == y.k) & (F.col("u") < F.col("v")) & ((F.col("bx") != F.col("by")) | (x.k == F.col("bx"))) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most))
     return met.select("u", "v").distinct()
 
 
@@ -176,6 +179,8 @@ def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
     first = fps.groupBy("fp").agg(F.min("at").alias("at"))
     kept = classes(fps, most).join(first, "fp").groupBy("root").agg(F.min("at").alias("at"))
     kept = written(kept.select(F.col("at.f").alias(file), F.col("at.r").alias(row)), "kept")
+    if kept.count() > BROADCAST_ROWS:  # Spark goes by its files, where a row takes a few bits
+        kept = kept.hint("merge")
     return placed.join(kept, [file, row], "left_semi").select(*docs.columns)
 
 

@@ -1,8 +1,10 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from siltstone.llm import linededup, simhash
 from siltstone.llm.components import components
@@ -75,6 +77,27 @@ def test_links_lose_none(spark):
     assert len(got) > 500
 
 
+def joins(df):
+    """The joins of the plan that has run."""
+    df.collect()
+    return set(re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+
+
+def test_keys_do_not_pass_through_the_driver(spark):
+    fps = simhash.written(spark.range(3000).select(F.xxhash64(F.expr("id div 2")).bitwiseXOR(F.col("id") % 2).alias("fp")), "fps")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20  # far more than Spark takes the keys for
+    assert joins(simhash.links(fps)) == {"SortMergeJoin"}
+
+
+def test_kept_rows_pass_through_the_driver_if_few(spark, monkeypatch):
+    docs = data.table(spark)
+    few = simhash.one_of_each(docs)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 10)
+    many = simhash.one_of_each(docs)
+    assert joins(few) == {"BroadcastHashJoin"} and joins(many) == {"SortMergeJoin"}
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
 def test_near_duplicates(spark):
     rows = data.rows()
     got = simhash.near_duplicates(data.table(spark)).collect()
