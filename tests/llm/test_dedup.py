@@ -89,6 +89,31 @@ def test_keys_do_not_pass_through_the_driver(spark):
     assert joins(simhash.links(fps)) == {"SortMergeJoin"}
 
 
+def broadcasts(spark, run):
+    """Rows of each broadcast while run() went on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    since = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    out, done = [], store.executionsList()
+    for i in range(since, done.size()):
+        k = done.apply(i).executionId()
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name().startswith("BroadcastExchange"):
+                own = {node.metrics().apply(m).name(): node.metrics().apply(m).accumulatorId() for m in range(node.metrics().size())}
+                found = values.get(own["number of output rows"])
+                out += [int(found.get().replace(",", ""))] if found.isDefined() else []
+    return out
+
+
+def test_broadcasts_have_a_row_a_document_at_most(spark):
+    rng = random.Random(12)
+    docs = simhash.written(spark.createDataFrame([(i, data.prose(rng, 12)) for i in range(1500)], "doc_id long, text string"), "docs")
+    assert max([0, *broadcasts(spark, lambda: simhash.near_duplicates(docs).collect())]) <= 1500
+    assert max(broadcasts(spark, lambda: simhash.one_of_each(docs).collect())) <= 1500
+
+
 def test_kept_rows_pass_through_the_driver_if_few(spark, monkeypatch):
     docs = data.table(spark)
     few = simhash.one_of_each(docs)
