@@ -9,23 +9,27 @@ from .common import written
 
 #: Links that a task takes at least: a few links aren't dealt over as many tasks as a large shuffle has.
 TASK_LINKS = 100_000
+#: Links of a round whose nodes may pass through the driver.
+BROADCAST_LINKS = 100_000
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """(u, v) with m, the smallest of u and all its v. The minimum has a partial sum in each task, so a hub's links don't meet in one."""
+def _least(pairs: DataFrame, many: bool) -> DataFrame:
+    """(u, v) with m, the smallest of u and all its v. The minimum has a partial sum in each task, so a hub's links don't meet in one.
+    many: by sorted shuffles, whatever Spark takes the nodes for, which goes by the links' files."""
     least = pairs.groupBy(F.col("u").alias("g")).agg(F.min("v").alias("m"))
+    least = least.hint("merge") if many else least
     return pairs.join(least, pairs.u == least.g).select("u", "v", F.least("u", "m").alias("m"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, many: bool) -> DataFrame:
     """Each node's larger neighbours, linked to the least of it and its neighbours: as many links as before at most."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _least(both, many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, many: bool) -> DataFrame:
     """Each node and its smaller neighbours, linked to the least of these. u > v in all links."""
-    near = _least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    near = _least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), many)
     links = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
     return links.where("u <> v").distinct()
 
@@ -46,9 +50,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     while True:
-        tasks = max(2, now.count() // TASK_LINKS)
+        rows = now.count()
+        tasks, many = max(2, rows // TASK_LINKS), rows > BROADCAST_LINKS
         now = now.coalesce(tasks)
         if _stars(now):
             break
-        now = written(_small(_large(now)).coalesce(tasks), "links")
+        now = written(_small(_large(now, many), many).coalesce(tasks), "links")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

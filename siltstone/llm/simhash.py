@@ -19,7 +19,7 @@ from .tokens import forget, slices
 GENERATOR = 0b110001110101
 #: The three segments of a fingerprint: lowest bit, bits. The last is padded with zeros.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Rows that a table of kept documents has at most to pass through the driver.
+#: Rows that a table has at most to pass through the driver.
 BROADCAST_ROWS = 200_000
 
 
@@ -147,11 +147,18 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     return met.select("u", "v").distinct()
 
 
-def classes(fps: DataFrame, most: int = 4) -> DataFrame:
-    """(fp, any columns) -> written (fp, root): root is the smallest linked fingerprint, signed."""
+def _joinable(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows, as a side of a join: one of sorted shuffles beyond BROADCAST_ROWS. Spark goes by files, where
+    a row takes a few bytes or bits, and would send several times its threshold through the driver."""
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
+def classes(fps: DataFrame, most: int = 4) -> tuple[DataFrame, int]:
+    """(fp, any columns) -> written (fp, root), where root is the smallest linked fingerprint, signed; and its rows."""
     nodes = written(fps.select("fp").distinct(), "fps")
-    found = components(links(nodes, most))
-    return written(nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
+    rows = nodes.count()
+    found = _joinable(components(links(nodes, most)), rows)
+    return written(nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes"), rows
 
 
 def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
@@ -164,10 +171,12 @@ def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
     """
     fps = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash(F.col("text")).alias("fp")), "simhash")
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    of = classes(fps, most).join(own, "fp")
+    found, rows = classes(fps, most)
+    of = found.join(_joinable(own, rows), "fp")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(of.join(least, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    named = written(of.join(_joinable(least, rows), "root").select("fp", "component_id"), "named")
+    # each fp is in named; a left join never sends fps, which has a row a document, through the driver
+    return fps.join(_joinable(named, rows), "fp", "left").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
@@ -177,11 +186,10 @@ def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
     placed = located(docs, file, row)
     fps = written(placed.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(file).alias("f"), F.col(row).alias("r")).alias("at"), simhash(F.col("text")).alias("fp")), "simhash")
     first = fps.groupBy("fp").agg(F.min("at").alias("at"))
-    kept = classes(fps, most).join(first, "fp").groupBy("root").agg(F.min("at").alias("at"))
+    found, rows = classes(fps, most)
+    kept = found.join(_joinable(first, rows), "fp").groupBy("root").agg(F.min("at").alias("at"))
     kept = written(kept.select(F.col("at.f").alias(file), F.col("at.r").alias(row)), "kept")
-    if kept.count() > BROADCAST_ROWS:  # Spark goes by its files, where a row takes a few bits
-        kept = kept.hint("merge")
-    return placed.join(kept, [file, row], "left_semi").select(*docs.columns)
+    return placed.join(_joinable(kept, kept.count()), [file, row], "left_semi").select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,21 @@ def test_broadcasts_have_a_row_a_document_at_most(spark):
     assert max(broadcasts(spark, lambda: simhash.one_of_each(docs).collect())) <= 1500
 
 
+def test_only_few_rows_pass_through_the_driver(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [data.prose(rng, 300) for _ in range(60)]
+    docs = simhash.written(spark.createDataFrame([(i, f"{texts[i % 60]} {i // 120}") for i in range(1500)], "doc_id long, text string"), "docs")
+    got = []
+    plain = broadcasts(spark, lambda: got.append(sorted(simhash.near_duplicates(docs).collect())))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr("siltstone.llm.components.BROADCAST_LINKS", 50)
+    few = broadcasts(spark, lambda: got.append(sorted(simhash.near_duplicates(docs).collect())))
+    assert max(plain) > 100 >= max([0, *few])
+    assert got[0] == got[1] and len({r.component_id for r in got[1]}) < len({r.fingerprint for r in got[1]}) < 1500
+    docs = docs.withColumn("text", F.lit("the same words"))  # one fingerprint: its documents must not be the smaller side
+    assert max(broadcasts(spark, lambda: simhash.near_duplicates(docs).collect())) <= 100
+
+
 def test_kept_rows_pass_through_the_driver_if_few(spark, monkeypatch):
     docs = data.table(spark)
     few = simhash.one_of_each(docs)
