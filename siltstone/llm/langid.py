@@ -110,6 +110,11 @@ class _Hashes(dict):
 _PREFIX, _SUFFIX, _GRAM = map(_Hashes, "psn")
 
 
+def _forget_hashes() -> None:
+    for kind in (_PREFIX, _SUFFIX, _GRAM):
+        kind.clear()
+
+
 def _text(code: int, k: int) -> str:
     """Of k code points of 21 bits each."""
     return "".join(chr(code >> 21 * j & (1 << 21) - 1) for j in range(k - 1, -1, -1))
@@ -313,6 +318,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             yield pdf
         del own
+        _forget_hashes()
         trim()
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -332,6 +338,7 @@ def language(docs: DataFrame, model: Model | None) -> Column:
             got = [g for a in slices(texts, _TOGETHER) for g in (own.label([texts[i] for i in a]) if own else [("und", 0.0, None)] * len(a))]
             yield pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
         del own
+        _forget_hashes()
         trim()
 
     return f(F.coalesce("text", F.lit("")))

@@ -7,7 +7,8 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .token_files import default_vocabulary
-from .tokens import encoder, slices, with_end
+from .tokens import encoder, runs, trim, with_end
 
 TIERS = (256, 512, 1024, 2048)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, task long, window long"
+#: Characters of the documents that are packed together.
+MOST_CHARS = 2_000_000
 
 
 class Packer:
@@ -90,17 +93,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
     Null or empty text is a document of the end id alone. Rows with equal or null doc_id are documents of their own.
     An empty table gives no pieces. Other columns are ignored.
     """
+    schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # what other operators held in this worker
         enc, packer = encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers)
         held: dict[int, tuple] = {}  # of documents that have ids in wait: doc_id, ids
         made = 0
 
-        def rows(done: list[tuple]) -> pd.DataFrame:
+        def rows(done: list[tuple]) -> pa.RecordBatch:
             crc = [zlib.crc32(held[d][1][s : s + n].astype("<u4").tobytes()) for d, s, n, *_ in done]
-            out = pd.DataFrame(
+            out = pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pd.array([held[x[0]][0] for x in done], "Int64"),
+                    "doc_id": [held[x[0]][0] for x in done],
                     "start": [x[1] for x in done],
                     "length": [x[2] for x in done],
                     "ids_crc32": crc,
@@ -108,28 +113,29 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
                     "sequence_id": [x[3] for x in done],
                     "offset": [x[4] for x in done],
                     "tier": [x[5] for x in done],
-                    "task": packer.task,
+                    "task": [packer.task] * len(done),
                     "window": [x[6] for x in done],
-                }
+                },
+                schema,
             )
             left = {x[1] for x in packer.waiting}
             for d in [d for d in held if d not in left]:
                 del held[d]
             return out
 
-        for pdf in batches:
-            texts, keys = pdf["text"].tolist(), pdf["doc_id"].astype("Int64").tolist()
-            for part in slices(texts):
-                ids, n = with_end(*enc.encode([texts[i] for i in part]), end_id)
+        for batch in batches:
+            for part in runs(pc.utf8_length(batch.column("text")).to_pylist(), MOST_CHARS):
+                own = batch.slice(part[0], len(part))  # only its texts are strings of Python at a time
+                ids, n = with_end(*enc.encode(own.column("text").to_pylist()), end_id)
                 ends = np.cumsum(n)
-                for i, a, b in zip(part, (ends - n).tolist(), ends.tolist(), strict=True):
-                    held[made] = (keys[i], ids[a:b].copy())
+                for key, a, b in zip(own.column("doc_id").to_pylist(), (ends - n).tolist(), ends.tolist(), strict=True):
+                    held[made] = (key, ids[a:b].copy())
                     packer.add(made, b - a)
                     made += 1
                 yield rows(packer.pack())
         yield rows(packer.pack(last=True))
 
-    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES), "pieces")
+    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES), "pieces")
     count = pieces.groupBy("tier", "task").agg((F.max("window") + 1).alias("n"))  # a row for each task and tier
     before = F.coalesce(F.sum("n").over(W.partitionBy("tier").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     number = F.create_map(*(F.lit(x).cast("long") for k, t in enumerate(sorted(tiers)) for x in (t, k)))

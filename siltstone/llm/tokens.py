@@ -11,7 +11,9 @@ from itertools import chain
 
 import numpy as np
 
-_MOST_PIECES = 1_000_000
+_MOST_PIECES = 400_000
+#: Characters of texts that are cut into pieces at a time, and joined texts of 256 new pieces that the library gets at a time.
+_TOGETHER, _BLOCK = 250_000, 16
 
 
 class _Index(dict):
@@ -37,7 +39,7 @@ class Encoder:
     A byte-level BPE starts a new word at a space between two characters that aren't white space, and no rule looks
     back across that place. So such texts are cut at their spaces, each distinct piece is encoded once by the tokenizers
     library, and ids are gathered from an array. Texts with more white space beside a space, or with a special token's
-    string, go to the library whole. With a million pieces the later half is forgotten; that changes no result.
+    string, go to the library whole. Beyond 400,000 pieces the later half is forgotten; that changes no result.
     """
 
     def __init__(self, path: str):
@@ -61,7 +63,8 @@ class Encoder:
         """All ids of texts without special tokens' strings, and the number of each text's."""
         if self.mark:
             text, mark = self.mark
-            ids = np.concatenate([np.array([*e, mark], np.int64) for e in self._plain([text.join(texts[a : a + 256]) for a in range(0, len(texts), 256)])])
+            joined = [text.join(texts[a : a + 256]) for a in range(0, len(texts), 256)]
+            ids = np.concatenate([np.array([*e, mark], np.int64) for a in range(0, len(joined), _BLOCK) for e in self._plain(joined[a : a + _BLOCK])])
             at = np.nonzero(ids == mark)[0]
             if len(at) == len(texts):
                 return ids[ids != mark], np.diff(at, prepend=-1) - 1
@@ -89,8 +92,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text's ids."""
-        if not texts:
-            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        done = [self._together([texts[i] for i in part]) for part in slices(texts, _TOGETHER)]
+        return np.concatenate([np.zeros(0, self.dtype), *(ids for ids, _ in done)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in done)])
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > _MOST_PIECES:
             self._forget()
         pieces: list[str] = []
@@ -128,7 +133,10 @@ def forget() -> None:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system where the C library can: workers live on from operator to operator."""
+    """Gives freed memory, Arrow's too, back to the system where the C library can: workers live on from operator to operator."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -1,12 +1,15 @@
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from siltstone.llm import token_files, tokens
+from siltstone.llm import packing, token_files, tokens
 from siltstone.llm.packing import Packer, pack
 
 from . import data
@@ -36,6 +39,40 @@ def test_cached_pieces_equal_plain_encoding(plain, monkeypatch):
         assert n.tolist() == [len(plain(t)) for t in texts]
 
 
+def test_texts_cut_in_parts_equal_plain_encoding(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "_TOGETHER", 3000)
+    monkeypatch.setattr(tokens, "_BLOCK", 1)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdé1,", k=rng.randint(1, 6))) for _ in range(rng.choice([0, 1, 20, 1500]))) for _ in range(40)] + ["", "a  b", "x<|endoftext|>y"]
+    ids, n = tokens.Encoder(PATH).encode(texts)
+    assert ids.tolist() == [i for t in texts for i in plain(t)] and n.tolist() == [len(plain(t)) for t in texts]
+
+
+def test_memory_of_an_encoder_over_many_different_words():
+    code = """
+import re, sys
+from siltstone.llm.tokens import Encoder
+peak = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+enc = Encoder(sys.argv[1])
+enc.encode(["a b"])
+before = peak()
+for k in range(5):
+    enc.encode([" ".join(f"w{i:x}" for i in range(a, a + 1000)) for a in range(200_000 * k, 200_000 * (k + 1), 1000)])
+print(peak() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code, PATH], capture_output=True, text=True, check=True, cwd=Path(tokens.__file__).parents[2]).stdout
+    assert float(got) < 180  # MB
+
+
+def test_packing_of_batches_cut_in_parts(spark, plain, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_CHARS", 500)
+    docs = data.table(spark).coalesce(1)
+    rows = pack(docs, PATH).collect()
+    ids = {r[0]: [*plain(r[1]), 1] for r in data.rows()}
+    assert all(r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length]) for r in rows)
+    check_pieces(rows, sum(len([*plain(r[1]), 1]) for r in data.rows()))
+
+
 def test_token_files(spark, plain):
     rows = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_files(data.table(spark).repartition(5), PATH).collect()]
     want = {}
